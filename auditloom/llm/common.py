@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether a table has no more than `bound` rows; reads no more than it must."""
     return df.limit(bound + 1).count() <= bound
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared checkpoint folder; smaller on disk than a checkpoint of many rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spark_broadcast(df: DataFrame, value):
+    """A value of bounded size for the Python functions that run over a table."""
+    return df.sparkSession.sparkContext.broadcast(value)
