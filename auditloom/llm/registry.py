@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from auditloom.llm import bpe, decontamination, lattice_lm, line_dedup, quality_rules, simhash_dedup, url_filters
+from auditloom.llm import bpe, decontamination, language_id, lattice_lm, line_dedup, quality_rules, simhash_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_language_id": language_id.op2_language_id,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_url_filters": url_filters.op5_url_filters,
