@@ -23,6 +23,7 @@ import json
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -152,33 +153,33 @@ def codec_for(spec: dict) -> Codec:
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int), decoded, and the SHA-256 of both; ids and decoded are left out unless `keep_ids`."""
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of ids and decoded text; on demand ids (array of int) and the decoded text too."""
     spec = load(path)
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    kinds |= {"ids": "array<int>"} if keep_ids else {}
+    kinds |= {"decoded": "string"} if keep_decoded else {}
 
     def run(batches):
         codec = codec_for(spec)
         for batch in batches:
-            rows = {k: [] for k in names}
-            for text in batch.column("text").to_pylist():
-                ids = codec.encode(text or "")
+            encoded = [codec.encode(text or "") for text in batch.column("text").to_pylist()]
+            lengths = [len(ids) // 4 for ids in encoded]
+            digests, plain = [], []
+            for ids in encoded:
                 decoded = codec.decode(ids)
-                rows["n_tokens"].append(len(ids) // 4)
-                rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                if keep_ids:
-                    rows["ids"].append(array("I", ids).tolist())
-                    rows["decoded"].append(decoded)
-            columns = [batch.column("doc_id"), *[pa.array(rows[k], type=types[k]) for k in names]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
-
-    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if keep_ids:
-        types |= {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
-        schema += ", ids array<int>, decoded string"
-    names = list(types)
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+                digests.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                if keep_decoded:
+                    plain.append(decoded)
+            columns = [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in encoded], pa.string()), pa.array(digests, pa.string())]
+            if keep_ids:
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4"))))
+            if keep_decoded:
+                columns.append(pa.array(plain, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *kinds])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{k} {v}" for k, v in kinds.items()]]))
 
 
 def default_path() -> str:

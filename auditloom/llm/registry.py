@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import bpe, decontamination, language_id, lattice_lm, line_dedup, quality_rules, simhash_dedup, url_filters
+from auditloom.llm import bpe, decontamination, language_id, lattice_lm, license_scan, line_dedup, quality_rules, simhash_dedup, url_filters
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
