@@ -33,8 +33,9 @@ def repeated_words(words: Column, width: int = WINDOW_WORDS) -> Column:
     Windows are compared by a 64-bit hash inside one document. Sorting happens only for the
     documents that have a repeated window at all; no step is worse than n log n in the words.
     """
-    n_windows = F.size(words) - (width - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.slice(words, i, width)))
+
+    def hashes(ws: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ws) - (width - 1)), lambda i: F.xxhash64(F.slice(ws, i, width)))
 
     def covered(hs: Column) -> Column:
         rows = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -56,10 +57,11 @@ def repeated_words(words: Column, width: int = WINDOW_WORDS) -> Column:
             ),
         )
 
-    return F.when(
-        n_windows >= 2,
-        let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(hs))),
-    ).otherwise(F.lit(0))
+    def counted(ws: Column) -> Column:
+        some = let(hashes(ws), lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(hs)))
+        return F.when(F.size(ws) > width, some).otherwise(F.lit(0))
+
+    return let(words, counted)  # bound, so that no plan splits the text again for each window
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
