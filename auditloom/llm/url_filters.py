@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import materialize
+from auditloom.llm.common import at_most, materialize
 
 #: Fixed by the result contract.
 RULES = (
@@ -37,6 +37,9 @@ MAX_DISTRUST = 0.5
 #: Rules become one expression in the plan; a list beyond this is refused.
 MAX_RULES = 200
 
+#: Hosts up to this number are broadcast to the pages; more of them are joined by shuffle.
+BROADCAST_HOSTS = 200_000
+
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>/?#]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -138,6 +141,9 @@ def judge_urls(pages: DataFrame, rules=RULES, max_distrust: float = MAX_DISTRUST
     scores = host_scores(pages, rules, max_distrust).select(F.col("host").alias("__host"), "host_verdict")
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    scores = materialize(scores)
+    if at_most(scores, BROADCAST_HOSTS):
+        scores = F.broadcast(scores)  # pages of a hot host then stay where they are
     return own.join(scores, F.col("host") == F.col("__host"), "left").select(
         "page_id", "host", "path", F.col("__fit")["rule"].alias("rule"),
         F.coalesce(F.col("__fit")["action"], F.col("host_verdict"), F.lit("allow")).alias("verdict"),
