@@ -2,10 +2,201 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from auditloom.functions import scalars
+from auditloom.operators import edges, graphs, homogeneous, intervals, multigraph, stats, tumbling
+from auditloom.plans import model, raw, sql
+from auditloom.sources import records, tables, windows
+from auditloom.streaming import tumbling as stream
+
+_EDGE = ("window_id", "src", "dst", "event_type", "edge_type_id", "count", "first_ts", "last_ts", "size_sum", "size_max")
+
+
+def _label_counts(df):
+    return df.groupBy("hostId", "malicious").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _attack_json() -> dict:
+    hosts: dict = {}
+    for wid, host, s, e in model.ATTACKS:
+        hosts.setdefault(host, []).append({"id": wid, "name": wid, "start_ns": s, "end_ns": e})
+    return {"attacks_by_host": hosts}
+
+
+def _lookup(s, d):
+    ev = tables.events(s, d)
+    uuids = ev.select(F.explode(F.array("subject_uuid", F.coalesce("object1_uuid", F.lit("")), F.coalesce("object2_uuid", F.lit("")))).alias("uuid")).distinct()
+    subjects, files, flows = model.node_tables(s, d)
+    return graphs.node_type_lookup(uuids, [("subject", subjects), ("fileobject", files), ("netflow", flows)])
+
+
+def _summary(s, d):
+    nodes, typed, kept = model.graph(s, d)
+    return graphs.build_summary(model.tasks(s, d), model.window_events(s, d), kept, nodes, typed)
+
+
+def _stats(s, d):
+    nodes, typed, _ = model.graph(s, d)
+    return stats.graph_stats(model.tasks(s, d), nodes, typed)
+
+
+def _rounded(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _edge_features(s, d):
+    x = graphs.edge_features(model.graph(s, d)[1])
+    part = lambda k: F.round(F.col("edge_attr")[k].cast("double"), 4)
+    names = ("type_id", "n", "span", "pos", "log_sum", "log_max")
+    return x.select("window_id", "relation", "src_idx", "dst_idx", *[part(k).alias(n) for k, n in enumerate(names)])
+
+
+def _file_features(s, d):
+    x = graphs.file_features(model.graph(s, d)[0], tables.fileobjects(s, d))
+    return x.select("window_id", "node_idx", "uuid", *[F.col("x")[k].cast("double").alias(n) for k, n in enumerate(("code", "deg_in", "deg_out", "deg_total"))])
+
+
+def _subject_features(s, d):
+    return graphs.subject_features(model.graph(s, d)[0], tables.subjects(s, d), model.tasks(s, d))
+
+
+def _netflow_features(s, d):
+    return graphs.netflow_features(model.graph(s, d)[0], tables.netflows(s, d))
+
+
+def _widths(s, d):
+    nodes, typed, _ = model.graph(s, d)
+    parts = {
+        "subject": graphs.subject_features(nodes, tables.subjects(s, d), model.tasks(s, d)), "fileobject": graphs.file_features(nodes, tables.fileobjects(s, d)),
+        "netflow": graphs.netflow_features(nodes, tables.netflows(s, d)), "edge": graphs.edge_features(typed),
+    }
+    return stats.feature_widths(parts, graphs.WIDTHS, {"edge": "edge_attr"})
+
+
+def _graph_profile(s, d):
+    nodes, typed, _ = model.graph(s, d)
+    return stats.table_profile({"graph_node": nodes, "graph_edge": typed.drop("score")})
+
+
+def _keys(s, d):
+    """Attributes that the raw records of each type have."""
+    parsed = records.records(raw.lines(s, d)).where("payload IS NOT NULL")
+    return stats.key_consistency(parsed.select(F.col("table").alias("file"), F.map_keys("payload").alias("keys")).distinct())
+
+
+def _stream(s, d):
+    """The streaming operator run over the table as one batch of input."""
+    return stream.stream_counts(tables.events(s, d))
+
+
+def _multigraph(s, d):
+    return multigraph.edges(model.labelled(s, d))
+
+
+def _parsed(s, d):
+    return records.records(raw.lines(s, d))
+
+
+def _scan(s, d):
+    return _parsed(s, d).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("parsed").alias("n_parsed"))
+
+
+def _unwrap(s, d):
+    wrapped = F.to_json(F.create_map(F.lit("x"), F.col("subject_uuid")))
+    return tables.events(s, d).select("uuid", records.unwrap(wrapped).alias("unwrapped"))
+
+
+def _ingest(s, d):
+    lines = raw.lines(s, d).where("file <> 'nodes.json'")
+    parsed = records.parse_events(records.records(lines))
+    marked = intervals.label(parsed, model.attack_table(s)).withColumn("file", F.concat("hostId", F.lit(".json")))
+    return records.ingest_counts(lines, marked)
+
+
+def _times(s, d):
+    ev = tables.events(s, d).select("uuid", "timestampNanos", F.expr("timestamp_micros(timestampNanos div 1000)").alias("at"))
+    iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return ev.select("uuid", scalars.to_ns(F.col("timestampNanos").cast("string")).alias("from_number"), scalars.to_ns(iso).alias("from_iso"))
+
+
+def _homogeneous(s, d):
+    marked = homogeneous.label_by_overlap(model.tasks(s, d), model.attack_table(s))
+    return homogeneous.edges(model.window_events(s, d), marked)
+
 
 def queries() -> dict:
-    return {}
+    t = tables
+    return {
+        "label_half_open": lambda s, d: _label_counts(model.labelled(s, d)),
+        "label_closed": lambda s, d: _label_counts(intervals.label(t.events(s, d), model.attack_table(s), closed=True)),
+        "label_audit": lambda s, d: tumbling.label_audit(model.labelled(s, d), ["hostId"]),
+        "attack_windows": lambda s, d: intervals.coalesce(windows.interval_table(s, windows.half_open(_attack_json()))),
+        "attack_windows_closed": lambda s, d: intervals.coalesce(windows.interval_table(s, windows.closed(_attack_json())), closed=True),
+        "attack_windows_ids": lambda s, d: windows.id_table(s, windows.with_ids(_attack_json())),
+        "attack_window_listing": lambda s, d: windows.listing_table(s, windows.listing(_attack_json())),
+        "coalesce_half_open": lambda s, d: intervals.coalesce(model.attack_table(s)),
+        "coalesce_closed": lambda s, d: intervals.coalesce(model.attack_table(s), closed=True),
+        "time_bounds": lambda s, d: intervals.time_bounds(t.events(s, d)),
+        "tumbling_counts": lambda s, d: tumbling.tumbling_counts(t.events(s, d)),
+        "tumbling_counts_stream": _stream,
+        "benign_windows": lambda s, d: tumbling.busiest_windows(model.labelled(s, d)),
+        "benign_slots": lambda s, d: model.slots(s, d, intervals.SLOT_NS),
+        "benign_sample": lambda s, d: intervals.even_sample(model.slots(s, d, model.GRAPH_SLOT_NS), model.GRAPH_SLOTS),
+        "window_tasks": model.tasks,
+        "event_type_codes": lambda s, d: edges.event_type_codes(t.events(s, d)),
+        "window_events": lambda s, d: model.window_events(s, d).select("window_id", "uuid", "timestampNanos"),
+        "edge_aggregate": lambda s, d: model.aggregated(s, d).select(*_EDGE),
+        "edge_score": lambda s, d: _rounded(edges.scored(model.aggregated(s, d)).select("window_id", "src", "dst", "event_type", "score")),
+        "edge_cap": lambda s, d: _rounded(model.kept(s, d).select(*_EDGE, "score")),
+        "window_nodes": lambda s, d: graphs.window_nodes(model.kept(s, d)),
+        "node_type_lookup": _lookup,
+        "window_build_summary": _summary,
+        "graph_nodes": lambda s, d: model.graph(s, d)[0].select("window_id", "node_type", "uuid", "node_idx"),
+        "graph_edges": lambda s, d: model.graph(s, d)[1].select("window_id", "relation", "src", "dst", "event_type", "src_idx", "dst_idx"),
+        "node_degrees": lambda s, d: model.graph(s, d)[0],
+        "node_features_subject": _subject_features,
+        "node_features_file": _file_features,
+        "node_features_netflow": _netflow_features,
+        "edge_features": _edge_features,
+        "file_type_codes": lambda s, d: graphs.file_type_codes(model.graph(s, d)[0], t.fileobjects(s, d)).select("window_id", "uuid", "file_type", "code"),
+        "graph_integrity": lambda s, d: graphs.integrity(*model.graph(s, d)[:2], model.tasks(s, d)),
+        "graph_table_profile": _graph_profile,
+        "graph_stats": _stats,
+        "corpus_summary": lambda s, d: _rounded(stats.corpus_summary(_stats(s, d))),
+        "edge_type_freq": lambda s, d: stats.edge_type_freq(model.graph(s, d)[1]),
+        "class_weights": lambda s, d: _rounded(stats.class_weights(_stats(s, d)), 9),
+        "dataset_stats": lambda s, d: _rounded(stats.dataset_stats(_stats(s, d))),
+        "array_stats": lambda s, d: _rounded(stats.array_stats(t.events(s, d), "size")),
+        "feature_spread": lambda s, d: stats.feature_spread(_netflow_features(s, d)),
+        "histogram_nodes": lambda s, d: _rounded(stats.histogram(_stats(s, d), "total_nodes", 40)),
+        "histogram_edges": lambda s, d: _rounded(stats.histogram(_stats(s, d), "total_edges", 40)),
+        "histogram_degree": lambda s, d: _rounded(stats.histogram(model.graph(s, d)[0], "deg_total", 50)),
+        "key_consistency": _keys,
+        "feature_width_check": _widths,
+        "multigraph_edges": _multigraph,
+        "top_degree": lambda s, d: multigraph.top_degree(_multigraph(s, d)),
+        "induced_subgraph": lambda s, d: multigraph.induced_subgraph(_multigraph(s, d)),
+        "first_window_graph": lambda s, d: multigraph.first_window(_multigraph(s, d)),
+        "scan_ndjson": _scan,
+        "unwrap_union": _unwrap,
+        "record_type_counts": lambda s, d: records.record_type_counts(_parsed(s, d)),
+        "parse_events": lambda s, d: records.parse_events(_parsed(s, d)),
+        "parse_subjects": lambda s, d: records.parse_subjects(_parsed(s, d)).select("uuid", "subject_type", "cid", "parentSubject", "startTimestampNanos"),
+        "parse_fileobjects": lambda s, d: records.parse_fileobjects(_parsed(s, d)).select("uuid", "file_type", "size"),
+        "parse_netflows": lambda s, d: records.parse_netflows(_parsed(s, d)).select("uuid", "localAddress", "localPort", "remotePort", "ipProtocol"),
+        "parse_registry": lambda s, d: records.parse_registry(_parsed(s, d)).select("uuid", "key"),
+        "parse_ipc": lambda s, d: records.parse_ipc(_parsed(s, d)).select("uuid", "ipc_type", "fd1", "fd2"),
+        "parse_memory": lambda s, d: records.parse_memory(_parsed(s, d)).select("uuid", "memoryAddress", "size"),
+        "ingest_counts": _ingest,
+        "table_profile": lambda s, d: stats.table_profile({"events": t.events(s, d), "subjects": t.subjects(s, d)}),
+        "file_stems": lambda s, d: t.events(s, d).select(F.col("hostId").alias("host"), scalars.file_stem(F.concat(F.lit("run "), "hostId", F.lit(".json.12"))).alias("stem")).distinct(),
+        "times_to_ns": _times,
+        "homogeneous_edges": lambda s, d: _rounded(_homogeneous(s, d), 4),
+        "homogeneous_nodes": lambda s, d: _rounded(homogeneous.nodes(_homogeneous(s, d), graphs.typed_nodes(*model.node_tables(s, d)))),
+        "split_assign": lambda s, d: stats.split_assign(t.events(s, d).select("hostId").distinct(), F.col("hostId")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, text in sql.oracle_sql().items() if name in queries()}
