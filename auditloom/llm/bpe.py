@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from auditloom.llm.common import bounded_batches
+
 #: Words kept in each of the two generations of a worker's memory.
 CACHE_WORDS = 250_000
 
@@ -179,6 +181,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_dec
                 columns.append(pa.array(plain, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *kinds])
 
+    bounded_batches(docs)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{k} {v}" for k, v in kinds.items()]]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,23 @@ def stored(df: DataFrame) -> DataFrame:
 def spark_broadcast(df: DataFrame, value):
     """A value of bounded size for the Python functions that run over a table."""
     return df.sparkSession.sparkContext.broadcast(value)
+
+
+#: Rows and bytes of texts that a Python worker gets at a time.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Prepare the session for Python functions over texts.
+
+    Arrow batches get no larger than what long texts allow (a session that asks for less keeps it),
+    and workers find this package where the driver does, if they share its folder.
+    """
+    conf, env = df.sparkSession.conf, df.sparkSession.sparkContext.environment
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    root = str(Path(__file__).resolve().parents[2])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])

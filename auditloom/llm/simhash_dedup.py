@@ -25,15 +25,13 @@ gives no rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import at_most, materialize
+from auditloom.llm.common import at_most, bounded_batches, materialize
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -44,19 +42,18 @@ GROUP_CAP = 8
 #: Shingles hashed at a time: bounds memory for very long texts.
 BLOCK = 65_536
 
-_word = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """The fingerprint as an unsigned number."""
-    words = _word.findall((text or "").translate(_UPPER))
+    # Lower case and splitting of bytes concern A-Z and the six ASCII white-space characters alone.
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     if len(words) < shingle_words:
-        shingles = [" ".join(words)]
+        shingles = [b" ".join(words)]
     else:
-        shingles = list(map(" ".join, zip(*[words[k:] for k in range(shingle_words)])))
+        shingles = list(map(b" ".join, zip(*[words[k:] for k in range(shingle_words)])))
     counts = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(shingles), BLOCK):
@@ -75,6 +72,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
