@@ -25,7 +25,6 @@ rows count each; with no training documents all counts are 0; an empty table giv
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -34,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import spark_broadcast, stored
+from auditloom.llm.common import bounded_batches, spark_broadcast, stored
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: The end's key among the words; no word is empty.
 END = ""
+_END = END.encode()
 PRIOR_MASS = 10_000.0
 #: Bounds of what travels to every task: words, and characters of such a word.
 SHIPPED_WORDS = 200_000
@@ -49,13 +49,12 @@ TASK_WORDS = 400_000
 BATCH_CHARS = 32
 BATCH_WORDS = 4096
 
-_word = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 _LOG10 = math.log(10)
 
 
-def words_of_text(text: str | None) -> list[str]:
-    return _word.findall(text.translate(_UPPER)) if text else []
+def words_of_text(text: str | None) -> list[bytes]:
+    """The words in UTF-8. Lower case and splitting of bytes concern A-Z and the six ASCII white-space characters alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 class Lattice:
@@ -187,13 +186,13 @@ def _task_counts(docs: DataFrame) -> DataFrame:
     def rows(train: Counter, other: Counter):
         words = list(train.keys() | other.keys())
         n = np.fromiter((train[w] for w in words), dtype=np.int64, count=len(words))
-        return pd.DataFrame({"word": words, "n": n, "uses": n + np.fromiter((other[w] for w in words), dtype=np.int64, count=len(words))})
+        return pd.DataFrame({"word": [w.decode() for w in words], "n": n, "uses": n + np.fromiter((other[w] for w in words), dtype=np.int64, count=len(words))})
 
     def run(frames):
         train, other = Counter(), Counter()
         for frame in frames:
             for text, held_out in zip(frame["text"], frame["held_out"]):
-                (other if held_out else train).update([*words_of_text(text), END])
+                (other if held_out else train).update([*words_of_text(text), _END])
                 if len(train) + len(other) > TASK_WORDS:
                     yield rows(train, other)
                     train, other = Counter(), Counter()
@@ -219,6 +218,7 @@ def _frequent(table: DataFrame, most: int, chars: int) -> DataFrame:
 
 def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS, shipped_words: int = SHIPPED_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) of every row."""
+    bounded_batches(docs)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False)))
     counts = stored(_task_counts(docs).groupBy("word").agg(F.sum("n").alias("c"), F.sum("uses").alias("uses")))
@@ -260,7 +260,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
     def partial(frames):
         """A row for each document with what the shipped words give (`word` starts with a space, as no word does), and one for each other word it has."""
         words, known, base, lp = shipped.value
-        at = dict(zip(words, range(len(words))))
+        at = {w.encode(): k for k, w in enumerate(words)}
         known, base, lp = np.append(known, 0), np.append(base, 0.0), np.append(lp, 0.0)
         none = len(words)
         for frame in frames:
@@ -271,13 +271,13 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
                     out[k].append(x)
 
             for doc_id, text, held_out in zip(frame["doc_id"], frame["text"], frame["held_out"]):
-                own = [*words_of_text(text), END]
+                own = [*words_of_text(text), _END]
                 k = np.fromiter([at.get(w, none) for w in own], dtype=np.int64, count=len(own))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
                 put(doc_id, text_hash, held_out, f" {text_hash}", len(own), int(known[k].sum()), float(base[k].sum()), float(lp[k].sum()))
                 for w, n in Counter(own[i] for i in np.flatnonzero(k == none)).items():
-                    put(doc_id, text_hash, held_out, w, n, 0, 0.0, 0.0)
+                    put(doc_id, text_hash, held_out, w.decode(), n, 0, 0.0, 0.0)
             yield pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     parts = docs.mapInPandas(partial, "doc_id long, text_hash long, held_out boolean, word string, n long, n_known long, base double, lp double")
