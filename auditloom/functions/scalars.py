@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SKETCH_BINS = 32
 HOUR_NS = 3_600_000_000_000
@@ -66,7 +67,7 @@ def ipv4_code(address: Column) -> Column:
     return F.when(valid, F.aggregate(numbers, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _name_code(names: pd.Series) -> pd.Series:
     return names.map(lambda s: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=4, person=b"ip").digest(), "big"))
 
@@ -77,7 +78,7 @@ def address_code(address: Column) -> Column:
     return F.coalesce(ipv4_code(text), _name_code(text))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _token_sketch(token_lists: pd.Series) -> pd.Series:
     known: dict[str, int] = {}
 

@@ -156,7 +156,7 @@ QUERIES = {
     "times_to_ns": "SELECT uuid, t AS from_number, t - t % 1000 AS from_iso FROM ev",
     "split_assign": None,
     "homogeneous_edges": "SELECT window_id, src, dst, event_type, round(CAST(t - s AS DOUBLE) / greatest(e - s, 1), 4) AS pos, label FROM (SELECT we.*, subject_uuid AS src, coalesce(object2_uuid, object1_uuid) AS dst FROM we) x JOIN (SELECT w.window_id, CAST(EXISTS (SELECT 1 FROM mc WHERE w.s <= mc.e AND mc.s <= w.e) AS INTEGER) AS label FROM tk w) l USING (window_id)",
-    "homogeneous_nodes": ", ends AS (SELECT window_id, subject_uuid AS uuid, 0 AS i, 1 AS o FROM we UNION ALL SELECT window_id, coalesce(object2_uuid, object1_uuid), 1, 0 FROM we), d AS (SELECT window_id, uuid, CAST(sum(i) AS BIGINT) AS deg_in, CAST(sum(o) AS BIGINT) AS deg_out FROM ends GROUP BY ALL) SELECT window_id, uuid, CASE left(uuid, 1) WHEN 's' THEN 'subject' WHEN 'f' THEN 'fileobject' ELSE 'netflow' END AS node_type, round(deg_in / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS in_share, round(deg_out / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS out_share, round((deg_in + deg_out) / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS total_share FROM d",
+    "homogeneous_nodes": ", ends AS (SELECT window_id, subject_uuid AS uuid, 0 AS i, 1 AS o FROM we UNION ALL SELECT window_id, coalesce(object2_uuid, object1_uuid), 1, 0 FROM we), d AS (SELECT window_id, uuid, CAST(sum(i) AS BIGINT) AS deg_in, CAST(sum(o) AS BIGINT) AS deg_out FROM ends GROUP BY ALL) SELECT window_id, uuid, coalesce((SELECT any_value(node_type) FROM ty WHERE ty.uuid = d.uuid), 'unknown') AS node_type, round(deg_in / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS in_share, round(deg_out / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS out_share, round((deg_in + deg_out) / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS total_share FROM d",
 }
 
 
