@@ -10,8 +10,8 @@ hash is its anchor. Equal strings have equal anchors, so
 
 1. grams of anchors are counted over the corpus; a string whose anchor's gram occurs once can't be
    repeated, and nothing of it moves any further;
-2. neighbouring strings with the same anchor form a block. Equal blocks are merged before the shuffle
-   and keep their first place; all other places of a block are repeats as a whole;
+2. neighbouring strings with the same anchor form a block. Equal blocks of a batch are merged before
+   the shuffle and keep their first place; all other places of a block are repeats as a whole;
 3. blocks that differ but share a gram meet by the gram. Their bytes are put one after another and
    their suffix array is built by the difference-cover algorithm modulo 3: sort the triples at
    positions 1 and 2 modulo 3, name them, recurse on the names, sort the rest by byte and rank,
@@ -19,7 +19,7 @@ hash is its anchor. Equal strings have equal anchors, so
    but the earliest are repeats;
 4. repeats come back to their documents as ranges.
 
-A gram with more than `CROWD` different blocks would be too much for one task: its strings are
+A gram that more than `CROWD` blocks bring along would be too much for one task: its strings are
 counted one by one by a 128-bit hash, which spreads over all tasks.
 
 Defined results: a null text is empty; texts shorter than `LENGTH` lose nothing; rows that repeat a
@@ -45,6 +45,8 @@ GRAM = 36
 CROWD = 5_000
 #: Bytes whose suffix array is built at a time; three names fit in 63 bits up to 2 million.
 CHUNK = 1_000_000
+#: Bytes whose anchors are looked for at a time.
+TILE = 1 << 16
 #: Repeated grams (8 bytes each) and documents' ranges are broadcast up to these numbers, and joined beyond.
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_DOCS = 1_000_000
@@ -57,28 +59,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes at each position (bytes as an array)."""
     n = len(data) - GRAM + 1
     words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    h = np.zeros(n, dtype=np.uint64)
-    for k, at in enumerate((0, 8, 16, 24, GRAM - 8)):
-        part = words[at : at + n] * _MIX[k]
-        part ^= part >> np.uint64(31)
-        h += part
-        h *= _MIX[(k + 2) % 5]
-    h ^= h >> np.uint64(29)
+    h = words[:n] * _MIX[0]
+    part = np.empty(n, dtype=np.uint64)
+    for k, at in enumerate((8, 16, 24, GRAM - 8), 1):
+        np.multiply(words[at : at + n], _MIX[k], out=part)
+        h ^= part
+    np.right_shift(h, np.uint64(32), out=part)
+    h ^= part
     h *= _MIX[1]
-    h ^= h >> np.uint64(32)
+    np.right_shift(h, np.uint64(29), out=part)
+    h ^= part
     return h
 
 
-def blocks(texts: list[bytes]):
-    """Runs of strings with one anchor: (text number, first start in the text, strings, gram), and the joined bytes with each run's place."""
-    ends = np.cumsum([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), data, np.zeros(0, np.int64))
-    if len(data) < LENGTH:
-        return empty
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the anchor of the string at each position, and its gram's hash; the leftmost of equal ones."""
     h = gram_hashes(data)
-    place = np.arange(len(h), dtype=np.uint64)
-    least = (h & np.uint64(0xFFFFFFFF00000000)) | place  # a batch has less than 4 GB
+    least = h & np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(h), dtype=np.uint64)
     width, step = LENGTH - GRAM + 1, 1
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
@@ -86,23 +84,41 @@ def blocks(texts: list[bytes]):
     if step < width:
         least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return anchor, h
+
+
+def blocks(texts: list[bytes]):
+    """Runs of strings with one anchor: (text number, first start in the text, strings, gram), and the joined bytes with each run's place."""
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    total = len(data) - LENGTH + 1
+    if total < 1:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), data, np.zeros(0, np.int64))
     begins = np.concatenate([[0], ends[:-1]])
-    usable = np.zeros(len(anchor) + 1, dtype=np.int32)
     long = np.flatnonzero(ends - begins >= LENGTH)
-    np.add.at(usable, begins[long], 1)
-    np.add.at(usable, ends[long] - LENGTH + 1, -1)
-    usable = np.cumsum(usable[:-1]) > 0
-    fresh = np.empty(len(anchor), dtype=bool)
-    fresh[0] = True
-    fresh[1:] = anchor[1:] != anchor[:-1]
-    fresh[begins[long]] = True
-    stop = np.append(np.flatnonzero(fresh), len(anchor))
-    start = stop[:-1]
+    usable = np.zeros(total + 1, dtype=np.int8)  # at most one text begins and one ends at a place
+    usable[begins[long]] += 1
+    usable[ends[long] - LENGTH + 1] -= 1
+    usable = np.cumsum(usable[:-1], dtype=np.int8).astype(bool)
+    starts, grams, last = [], [], -1
+    for at in range(0, total, TILE):  # tiles that fit the processor's cache; strings reach past their tile's end
+        anchor, h = _anchors(data[at : at + TILE + LENGTH - 1])
+        fresh = np.empty(len(anchor), dtype=bool)
+        fresh[0] = anchor[0] + at != last
+        np.not_equal(anchor[1:], anchor[:-1], out=fresh[1:])
+        inside = begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + len(anchor))] - at
+        fresh[inside] = True
+        found = np.flatnonzero(fresh)
+        starts.append(found + at)
+        grams.append(h[anchor[found]])
+        last = int(anchor[-1]) + at
+    start, gram = np.concatenate(starts), np.concatenate(grams)
+    stop = np.append(start[1:], total)
     keep = usable[start]
-    start, stop = start[keep], stop[1:][keep]
+    start, stop, gram = start[keep], stop[keep], gram[keep]
     owner = np.searchsorted(ends, start, side="right")
     stop = np.minimum(stop, ends[owner] - LENGTH + 1)
-    return owner, start - begins[owner], stop - start, h[anchor[start]], data, start
+    return owner, start - begins[owner], stop - start, gram, data, start
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -181,30 +197,34 @@ def _repeated_grams(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, known) -> DataFrame:
-    """gram, block, its 128-bit hash, doc_id, start, strings, again (1 if the document has the block before). known: sorted grams, or None for all."""
-    schema = "gram long, block binary, b1 long, b2 long, doc_id long, start int, strings int, again int"
+    """Blocks in documents: gram, b1 and b2 (the block's 128-bit hash), doc_id, start, strings, block.
+
+    The block's bytes are there in one row of
+    each batch only, its earliest, so that copies cost a few numbers. known: sorted grams, or None
+    for all.
+    """
+    schema = "gram long, b1 long, b2 long, doc_id long, start int, strings int, block binary"
 
     def run(batches):
         for batch in batches:
-            texts = _texts(batch)
-            owner, first, n, gram, data, start = blocks(texts)
-            if known is not None and len(gram):
+            owner, first, n, gram, data, start = blocks(_texts(batch))
+            if known is not None:
                 grams = known.value
                 at = np.minimum(np.searchsorted(grams, gram.view(np.int64)), max(len(grams) - 1, 0))
                 keep = grams[at] == gram.view(np.int64) if len(grams) else np.zeros(len(gram), dtype=bool)
                 owner, first, n, gram, start = owner[keep], first[keep], n[keep], gram[keep], start[keep]
+            ids = batch.column("doc_id").to_numpy()[owner]
+            order = np.lexsort((first, ids))
+            ids, first, n, gram, start = ids[order], first[order], n[order], gram[order], start[order]
             whole = data.tobytes()
             parts = [whole[s : s + k] for s, k in zip(start.tolist(), (n + LENGTH - 1).tolist())]
+            seen: set[bytes] = set()
+            lead = [None if part in seen or seen.add(part) else part for part in parts]
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), dtype="<i8").reshape(-1, 2)
-            seen, again = set(), []
-            for o, a, b in zip(owner.tolist(), digests[:, 0].tolist(), digests[:, 1].tolist()):
-                again.append(int((o, a, b) in seen))
-                seen.add((o, a, b))
-            ids = batch.column("doc_id").take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(parts, pa.binary()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), ids,
-                 pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again, pa.int32())],
-                names=["gram", "block", "b1", "b2", "doc_id", "start", "strings", "again"],
+                [pa.array(gram.view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(ids), pa.array(first.astype(np.int32)),
+                 pa.array(n.astype(np.int32)), pa.array(lead, pa.binary())],
+                names=["gram", "b1", "b2", "doc_id", "start", "strings", "block"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -217,23 +237,31 @@ def _ranges(mask: np.ndarray) -> bytes:
 
 
 def _judged(frames):
-    """b1, b2, gone: what the first occurrence of each block loses; blocks arrive by gram."""
-    held: list[tuple] = []
-    size = 0
+    """b1, b2, first_doc, first_start, gone (what the first occurrence loses, null for nothing) of each block; rows arrive by gram."""
+    groups: list[dict] = []  # of grams: (b1, b2) -> [block, doc_id, start]
+    size, current = 0, None
 
     def work():
-        masks = repeats([r[1] for r in held], [(r[4], r[5]) for r in held])
-        rows = [(r[2], r[3], _ranges(m)) for r, m in zip(held, masks) if m.any()]
-        return pd.DataFrame(rows, columns=["b1", "b2", "gone"])
+        several = [(key, *row) for own in groups if len(own) > 1 for key, row in own.items()]
+        masks = iter(repeats([r[1] for r in several], [r[2:] for r in several]) if several else ())
+        rows = [(*key, *row[1:], _ranges(next(masks)) or None if len(own) > 1 else None) for own in groups for key, row in own.items()]
+        return pd.DataFrame(rows, columns=["b1", "b2", "first_doc", "first_start", "gone"])
 
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            if size > CHUNK and held and row[0] != held[-1][0]:
-                yield work()
-                held, size = [], 0
-            held.append(tuple(row))
-            size += len(row[1]) + 1
-    if held:
+        for gram, block, b1, b2, doc_id, start in frame.itertuples(index=False, name=None):
+            if gram != current:
+                if size > CHUNK:
+                    yield work()
+                    groups, size = [], 0
+                groups.append({})
+                current = gram
+            fresh = [block, doc_id, start]
+            row = groups[-1].setdefault((b1, b2), fresh)
+            if row is fresh:
+                size += len(block) + 1
+            elif (doc_id, start) < (row[1], row[2]):
+                row[1:] = [doc_id, start]
+    if groups:
         yield work()
 
 
@@ -243,16 +271,17 @@ def _crowd_strings(frames):
         for row in frame.itertuples(index=False):
             for k in range(len(row.block) - LENGTH + 1):
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(row.block[k : k + LENGTH]), dtype="<i8")
-                for key, x in zip(out, (a, b, row.first_doc, row.first_start + k, row.b1, row.b2, k)):
+                for key, x in zip(out, (a, b, row.doc_id, row.start + k, row.b1, row.b2, k)):
                     out[key].append(x)
         yield pd.DataFrame(out)
 
 
-def _crowd_masks(strings: DataFrame) -> DataFrame:
-    """b1, b2, gone for the blocks of crowded grams."""
+def _crowd_masks(strings: DataFrame, first_doc: DataFrame) -> DataFrame:
+    """b1, b2, gone for the first occurrences of the blocks of crowded grams."""
     first = strings.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"))
     there = strings.join(first, ["w1", "w2"]).where(F.col("doc_id") == F.col("d0")).groupBy("w1", "w2", "d0").agg(F.min("start").alias("s0"))
-    late = strings.join(there, ["w1", "w2"]).where((F.col("doc_id") > F.col("d0")) | (F.col("start") > F.col("s0")))
+    own = strings.join(first_doc, ["b1", "b2"]).where((F.col("doc_id") == F.col("first_doc")) & (F.col("start") - F.col("at") == F.col("first_start")))
+    late = own.join(there, ["w1", "w2"]).where((F.col("doc_id") > F.col("d0")) | (F.col("start") > F.col("s0")))
     places = late.groupBy("b1", "b2").agg(F.collect_set("at").alias("places"))  # at most 65
 
     def run(frames):
@@ -271,28 +300,23 @@ def repeat_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, ranges (sorted first and end of the removed runs of bytes, as 64-bit numbers) of each doc_id that loses bytes."""
     grams = stored(_repeated_grams(docs))
     if at_most(grams, BROADCAST_GRAMS):
-        known = np.array(sorted(r[0] for r in grams.toLocalIterator(prefetchPartitions=True)), dtype=np.int64)
-        occurrences = _occurrences(docs, spark_broadcast(docs, known))
+        occurrences = _occurrences(docs, spark_broadcast(docs, np.sort(grams.toArrow().column("gram").to_numpy())))
     else:
         occurrences = _occurrences(docs, None).join(grams, "gram", "left_semi")
     occurrences = stored(occurrences)
-    distinct = occurrences.where("again = 0").groupBy("gram", "block", "b1", "b2").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"))
-    distinct = stored(distinct)
-    several = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stored(several.where(F.col("n") > crowd).select("gram"))
-    few = several.where(F.col("n") <= crowd).select("gram")
-    meeting = distinct.join(few, "gram", "left_semi").select("gram", "block", "b1", "b2", "first_doc", "first_start")
-    masks = meeting.repartition("gram").sortWithinPartitions("gram").mapInPandas(_judged, "b1 long, b2 long, gone binary")
-    if not at_most(crowded, 0):
-        strings = distinct.join(crowded, "gram", "left_semi").mapInPandas(
-            _crowd_strings, "w1 long, w2 long, doc_id long, start int, b1 long, b2 long, at int"
-        )
-        masks = masks.unionByName(_crowd_masks(stored(strings)))
-    firsts = distinct.select("b1", "b2", "first_doc", "first_start")
-    places = occurrences.select("b1", "b2", "doc_id", "start", "strings", "again")
-    joined = places.join(firsts, ["b1", "b2"]).withColumn("whole", (F.col("again") == 1) | (F.col("doc_id") != F.col("first_doc")))
-    whole = joined.where("whole").select("doc_id", "start", "strings", F.lit(None).cast("binary").alias("gone"))
-    part = joined.where("NOT whole").join(masks, ["b1", "b2"]).select("doc_id", "start", "strings", "gone")
+    meeting = occurrences.where("block IS NOT NULL").select("gram", "block", "b1", "b2", "doc_id", "start")
+    crowded = stored(meeting.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gram"))
+    no_crowd = at_most(crowded, 0)
+    dealt = (meeting if no_crowd else meeting.join(crowded, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram")
+    firsts = dealt.mapInPandas(_judged, "b1 long, b2 long, first_doc long, first_start int, gone binary")
+    if not no_crowd:
+        packed = meeting.join(crowded, "gram", "left_semi")
+        strings = packed.mapInPandas(_crowd_strings, "w1 long, w2 long, doc_id long, start int, b1 long, b2 long, at int")
+        first_doc = packed.groupBy("b1", "b2").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"))
+        firsts = firsts.unionByName(first_doc.join(_crowd_masks(stored(strings), first_doc), ["b1", "b2"], "left"))
+    places = occurrences.select("b1", "b2", "doc_id", "start", "strings")
+    joined = places.join(firsts, ["b1", "b2"]).withColumn("whole", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") > F.col("first_start")))
+    lost = joined.where("whole OR gone IS NOT NULL").select("doc_id", "start", "strings", F.when(~F.col("whole"), F.col("gone")).alias("gone"))
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         begins, ends = [], []
@@ -310,7 +334,7 @@ def repeat_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         out = np.stack([b[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]], axis=1)
         return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "ranges": [out.astype("<i8").tobytes()]})
 
-    return whole.unionByName(part).groupBy("doc_id").applyInPandas(merge, "doc_id long, ranges binary")
+    return lost.groupBy("doc_id").applyInPandas(merge, "doc_id long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
