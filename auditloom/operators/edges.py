@@ -40,7 +40,11 @@ def cap(edges: DataFrame) -> DataFrame:
     first by source, target and type, nulls last.
     """
     own = edges if "score" in edges.columns else scored(edges)
-    order = [F.desc_nulls_last("score"), F.asc_nulls_last("src"), F.asc_nulls_last("dst"), F.asc_nulls_last("event_type")]
-    out = F.row_number().over(Window.partitionBy("window_id", "src", "edge_type_id").orderBy(*order))
-    into = F.row_number().over(Window.partitionBy("window_id", "dst", "edge_type_id").orderBy(*order))
-    return own.withColumn("__out", out).withColumn("__in", into).where("__out = 1 OR __in = 1").drop("__out", "__in")
+    named = lambda c: [F.col(c).isNull().alias(f"{c}_missing"), F.col(c).alias(f"{c}_by")]
+    place = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("low"), *named("src"), *named("dst"), *named("event_type"), F.struct(*own.columns).alias("row"))
+
+    def best(end: str) -> DataFrame:
+        # An aggregate rather than a ranking window: a node with very many edges is reduced before the shuffle.
+        return own.groupBy("window_id", end, "edge_type_id").agg(F.min(place).alias("first")).select("first.row.*")
+
+    return best("src").unionByName(best("dst")).dropDuplicates(["window_id", "src", "dst", "event_type"])
