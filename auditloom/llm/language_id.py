@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.llm.common import bounded_batches
+
 HELD_OUT_OF, HELD_OUT = 3, 1
 TRAIN_DOCS = 300
 TRAIN_LINES = 600
 MAX_LANGS = 64
 LEXICON_USES = 3
 #: Words a worker remembers, and words whose chains are worked out at a time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 BATCH_WORDS = 100_000
 UNKNOWN = "und"
 
@@ -157,27 +159,42 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, deca
 
 
 class Words(dict):
-    """Word -> emission row; row 0 is for words without a letter."""
+    """Word, as text or UTF-8 -> emission row; row 0 is for words without a letter.
+
+    The rows of new words are worked out together, when `settled` asks for them.
+    """
 
     def __init__(self, model: dict):
         super().__init__()
-        self.features, self.w = model["features"], model["w"]
-        self.rows = np.zeros((1024, len(model["langs"])))
-        self.n = 1
+        self.get_feature, self.w = model["features"].get, model["w"]
+        self.rows = np.zeros((1, len(model["langs"])))
+        self.n, self.flat, self.begins = 1, [], []
 
-    def __missing__(self, word: str) -> int:
-        s = letters_of(word)
+    def __missing__(self, word: str | bytes) -> int:
+        s = letters_of(word if isinstance(word, str) else word.decode("utf-8", "surrogatepass"))
         if not s or not any(map(str.isalpha, s)):
             self[word] = 0
             return 0
-        get = self.features.get
-        own = [k for f in features_of(s) if (k := get(f)) is not None]
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = self.w[own].sum(axis=0)
-        self[word] = self.n
+        self.begins.append(len(self.flat))
+        self.flat += [k for f in features_of(s) if (k := self.get_feature(f)) is not None]
+        row = self[word] = self.n
         self.n += 1
-        return self[word]
+        return row
+
+    def settled(self) -> np.ndarray:
+        """The rows of all words so far."""
+        if self.n > len(self.rows):
+            grown = np.zeros((max(self.n, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[: len(self.rows)] = self.rows
+            self.rows = grown
+        if self.begins:
+            owner = np.repeat(np.arange(len(self.begins)), np.diff([*self.begins, len(self.flat)]))
+            first = self.n - len(self.begins)
+            flat = np.array(self.flat, dtype=np.int64)
+            for k in range(self.rows.shape[1]):
+                self.rows[first : self.n, k] = np.bincount(owner, weights=self.w[flat, k], minlength=len(self.begins))
+            self.flat, self.begins = [], []
+        return self.rows
 
 
 _memory: dict[str, Words] = {}
@@ -202,7 +219,7 @@ def label_lines(model: dict, lines: list[list[str]], words: Words | None = None)
         padded = np.zeros((len(block), lengths[block[0]]), dtype=np.int64)
         for r, c in enumerate(block):
             padded[r, : lengths[c]] = ids[c]
-        chain = Chain(words.rows[padded], lengths[block], model["s"], model["t"])
+        chain = Chain(words.settled()[padded], lengths[block], model["s"], model["t"])
         for r, c in enumerate(block):
             out[c] = chain.post[r, : lengths[c]]
     return out
@@ -214,21 +231,23 @@ def _text_scores(model: dict, words: Words, texts: list[str | None]) -> np.ndarr
     ids, owner, held = [], [], 0
 
     def flush():
+        rows = words.settled()
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
         for block in chains(lengths):
             t_max = lengths[block[0]]
             padded = np.zeros((len(block), t_max), dtype=np.int64)
             for r, c in enumerate(block):
                 padded[r, : lengths[c]] = ids[c]
-            chain = Chain(words.rows[padded], lengths[block], model["s"], model["t"])
+            chain = Chain(rows[padded], lengths[block], model["s"], model["t"])
             post = chain.post * (padded > 0)[:, :, None]  # padding is row 0, as are words without a letter
             np.add.at(total, np.array(owner)[block], post.sum(axis=1))
 
     for k, text in enumerate(texts):
-        for line in (text or "").split("\n"):
-            found = _word.findall(line)
+        # Splitting of bytes concerns the six ASCII white-space characters alone.
+        for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+            found = line.split()
             if found:
-                ids.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
+                ids.append(list(map(words.__getitem__, found)))
                 owner.append(k)
                 held += len(found)
         if held >= BATCH_WORDS:
@@ -276,6 +295,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             )
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double, probabilities array<double>"
     )
