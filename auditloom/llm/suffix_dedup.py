@@ -200,15 +200,20 @@ def _occurrences(docs: DataFrame, known) -> DataFrame:
     """Blocks in documents: gram, b1 and b2 (the block's 128-bit hash), doc_id, start, strings, block.
 
     The block's bytes are there in one row of
-    each batch only, its earliest, so that copies cost a few numbers. known: sorted grams, or None
-    for all.
+    each batch only, its earliest, so that copies cost a few numbers. known: sorted grams whose
+    blocks count; None: docs has `starts`, the first starts of the blocks that count in each document.
     """
     schema = "gram long, b1 long, b2 long, doc_id long, start int, strings int, block binary"
 
     def run(batches):
         for batch in batches:
             owner, first, n, gram, data, start = blocks(_texts(batch))
-            if known is not None:
+            if known is None:
+                starts = batch.column("starts")
+                listed = (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32) | starts.flatten().to_numpy()
+                keep = np.isin((owner << 32) | first, listed)
+                owner, first, n, gram, start = owner[keep], first[keep], n[keep], gram[keep], start[keep]
+            else:
                 grams = known.value
                 at = np.minimum(np.searchsorted(grams, gram.view(np.int64)), max(len(grams) - 1, 0))
                 keep = grams[at] == gram.view(np.int64) if len(grams) else np.zeros(len(gram), dtype=bool)
@@ -296,13 +301,28 @@ def _crowd_masks(strings: DataFrame, first_doc: DataFrame) -> DataFrame:
     return places.mapInPandas(run, "b1 long, b2 long, gone binary")
 
 
-def repeat_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def _with_starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Documents with the first starts of their blocks of these grams; for more grams than a broadcast bears."""
+
+    def run(batches):
+        for batch in batches:
+            owner, first, _, gram, _, _ = blocks(_texts(batch))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(first)], names=["gram", "id", "start"]
+            )
+
+    found = docs.mapInArrow(run, "gram long, id long, start long").join(grams, "gram", "left_semi")
+    starts = found.groupBy("id").agg(F.collect_list("start").alias("starts"))  # of one document
+    return docs.join(starts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "starts")
+
+
+def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, ranges (sorted first and end of the removed runs of bytes, as 64-bit numbers) of each doc_id that loses bytes."""
     grams = stored(_repeated_grams(docs))
-    if at_most(grams, BROADCAST_GRAMS):
+    if at_most(grams, broadcast_grams):
         occurrences = _occurrences(docs, spark_broadcast(docs, np.sort(grams.toArrow().column("gram").to_numpy())))
     else:
-        occurrences = _occurrences(docs, None).join(grams, "gram", "left_semi")
+        occurrences = _occurrences(_with_starts(docs, grams), None)
     occurrences = stored(occurrences)
     meeting = occurrences.where("block IS NOT NULL").select("gram", "block", "b1", "b2", "doc_id", "start")
     crowded = stored(meeting.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gram"))

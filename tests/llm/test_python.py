@@ -102,8 +102,8 @@ def test_equal_strings_share_their_anchor():
     assert all(len(g) == 1 for g in of.values())
 
 
-@pytest.mark.parametrize("crowd", [5000, 1])
-def test_repeats_edges(spark, crowd, monkeypatch):
+@pytest.mark.parametrize("crowd, grams", [(5000, 1000), (1, 1000), (5000, 0)])
+def test_repeats_edges(spark, crowd, grams, monkeypatch):
     rnd = random.Random(5)
     base = "".join(rnd.choice("abcdé \n") for _ in range(400))
     data = [
@@ -112,7 +112,7 @@ def test_repeats_edges(spark, crowd, monkeypatch):
     ]
     data += [(3, data[3][1]), (70, None), (None, base), (71, ""), (None, base), (72, "ü" * 49 + "a"), (73, "ü" * 49 + "a"), (74, "ü" * 50), (75, "ü" * 50), (76, LONG)]
     ranges = suffix_dedup.repeat_ranges
-    monkeypatch.setattr(suffix_dedup, "repeat_ranges", lambda d: ranges(d, crowd=crowd))
+    monkeypatch.setattr(suffix_dedup, "repeat_ranges", lambda d: ranges(d, crowd=crowd, broadcast_grams=grams))
     got = suffix_dedup.remove_repeats(table(spark, data))
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = got.collect()
