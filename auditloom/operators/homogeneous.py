@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import clipped_share
@@ -42,5 +42,17 @@ def nodes(edge_rows: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def one_hot(column: str, values: list[str]):
-    return F.array(*[(F.col(column) == v).cast("float") for v in values])
+def one_hot(column: str, values: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(column) == v, F.lit(False)).cast("float") for v in values])
+
+
+def node_features(node_rows: DataFrame) -> DataFrame:
+    """window_id, uuid, x: node type as one of three, then the shares of degrees."""
+    shares = F.array(*[F.col(c).cast("float") for c in ("in_share", "out_share", "total_share")])
+    return node_rows.select("window_id", "uuid", F.concat(one_hot("node_type", ["subject", "fileobject", "netflow"]), shares).alias("x"))
+
+
+def edge_features(edge_rows: DataFrame, event_types: list[str]) -> DataFrame:
+    """window_id, src, dst, edge_attr: event type as one of the vocabulary, then the place in the window."""
+    attr = F.concat(one_hot("event_type", event_types), F.array(F.col("pos").cast("float")))
+    return edge_rows.select("window_id", "src", "dst", attr.alias("edge_attr"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars
-from auditloom.operators import edges, graphs, intervals, multigraph, stats, tumbling
+from auditloom.operators import edges, graphs, homogeneous, intervals, multigraph, stats, tumbling
 from auditloom.sources import records, tables, windows
 from auditloom.streaming.tumbling import stream_counts
 
@@ -149,6 +149,25 @@ def test_degrees(spark):
     assert got == {"s1": (1, 2, 3), "s2": (1, 0, 1), "f1": (1, 1, 2)}
 
 
+def test_homogeneous(spark):
+    win = spark.createDataFrame([("w", 0, 10), ("v", 20, 30)], "window_id string, start_ns bigint, end_ns bigint")
+    marked = homogeneous.label_by_overlap(win, spark.createDataFrame([(10, 12), (40, 50)], PAIRS))
+    assert {r["window_id"]: r["label"] for r in marked.collect()} == {"w": 1, "v": 0}
+    ev = spark.createDataFrame([("e1", "A", 0, "s", "a", None, 9, "h", 0), ("e2", "B", 5, "s", "a", "b", 1, "h", 0), ("e3", "A", 7, "a", "s", None, 1, "h", 0)], EVENTS)
+    rows = homogeneous.edges(intervals.in_windows(ev, win), marked, max_edges=2)
+    got = {r["dst"]: [round(x, 3) for x in r["edge_attr"]] for r in homogeneous.edge_features(rows, ["A", "B"]).collect()}
+    assert got == {"a": [1, 0, 0], "b": [0, 1, 0.5]}
+    types = spark.createDataFrame([("s", "subject"), ("a", "fileobject")], "uuid string, node_type string")
+    x = {r["uuid"]: list(r["x"]) for r in homogeneous.node_features(homogeneous.nodes(rows, types)).collect()}
+    assert x == {"s": [1, 0, 0, 0, 1, 1], "a": [0, 1, 0, 0.5, 0, 0.5], "b": [0, 0, 0, 0.5, 0, 0.5]}
+
+
+def test_flags_and_iso(spark):
+    df = spark.createDataFrame([(x,) for x in ("0", "1", "true", "false", "x", None)], "v string")
+    assert [r[0] for r in df.select(scalars.as_flag(F.col("v"))).collect()] == [0, 1, 1, 0, 1, 1]
+    assert spark.range(1).select(scalars.iso_from_ns(F.lit(1557410220999999999))).first()[0] == "2019-05-09T13:57:00+00:00"
+
+
 def test_label_audit(spark):
     r = tumbling.label_audit(spark.createDataFrame([(1,), (0,), (None,)], "malicious int")).first()
     assert tuple(r) == (1, 2, 1, 2)
