@@ -50,6 +50,11 @@ def at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def broadcast_if_small(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """A written table of keys and a few numbers, with the hint to broadcast it if it has at most `bound` rows."""
+    return F.broadcast(df) if at_most(df, bound) else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared checkpoint folder; smaller on disk than a checkpoint of many rows."""
     spark = df.sparkSession

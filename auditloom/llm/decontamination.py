@@ -10,8 +10,8 @@ tokens of the item (items of 7 to 12 tokens: all tokens agree). The masks have w
 7 and 9: whichever two of 13 tokens are substituted, one of the masks still fits somewhere between
 them (checked over all cases in the tests), so seeding loses no such overlap.
 
-Defined results: null or short texts hold nothing; benchmark items of fewer than 7 tokens can't be
-matched; rows with the same doc_id count as one document; repeated benchmark items are reported
+Defined results: null or short texts hold nothing; benchmark items of fewer than 7 tokens or without
+an item_id can't be matched; rows with the same doc_id count as one document; repeated benchmark items are reported
 under each item_id; empty tables give no rows.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import at_most, materialize
+from auditloom.llm.common import at_most, broadcast_if_small, materialize
 
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 WINDOW = 13
@@ -62,7 +62,7 @@ def _verified(item: Column, doc: Column, diagonal: Column) -> Column:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row for each document and benchmark item it holds: doc_id, item_id, n_item_tokens, n_matched."""
-    docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", F.col("text").alias("item_text"))
+    docs, items = docs.select("doc_id", "text"), benchmark.where("item_id IS NOT NULL").select("item_id", F.col("text").alias("item_text"))
     bench = materialize(seeds(items, ["item_id"], "item_text").withColumnRenamed("pos", "item_pos"))
     known = bench.select("seed").distinct()
     if at_most(known, broadcast_seeds):
@@ -71,8 +71,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
     diagonals = materialize(hits.join(bench, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
     item_tokens = items.select("item_id", tokens_of(F.col("item_text")).alias("item_tokens"))
     held = diagonals.join(item_tokens, "item_id").select(F.col("doc_id").alias("__doc"), "item_id", "item_tokens", "diagonal")
+    hit = broadcast_if_small(materialize(diagonals.select(F.col("doc_id").alias("__hit")).distinct()))
+    few = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_semi")  # the other texts stay where they are
     return (
-        docs.select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
+        few.select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
         .join(held, F.col("doc_id").eqNullSafe(F.col("__doc")))
         .select(
             "doc_id", "item_id", F.size("item_tokens").cast("long").alias("n_item_tokens"),
@@ -87,7 +89,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
     leaks = materialize(find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")
+    return docs.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def op4_benchmark_decontamination(spark, sf_dir):

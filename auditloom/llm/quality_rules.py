@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import WORD_BREAK, let, materialize, words_of
+from auditloom.llm.common import WORD_BREAK, broadcast_if_small, let, materialize, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -124,7 +124,7 @@ def keep_good(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFram
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"), docs["source"].alias("__source"))
     judged = base_rules(own, "__text")
     verdicts = host_verdicts(base_rules(docs.select("text", "source")), max_host_rate=max_host_rate)
-    rejected = verdicts.where("host_rejected").select(F.col("host").alias("__host"))
+    rejected = broadcast_if_small(materialize(verdicts.where("host_rejected").select(F.col("host").alias("__host"))))
     return judged.where(~F.col("base_failed")).join(rejected, F.col("__source") == F.col("__host"), "left_anti").select("__row.*")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import at_most, bounded_batches, materialize
+from auditloom.llm.common import at_most, bounded_batches, broadcast_if_small, materialize
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -147,8 +147,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     be told apart and stay.
     """
     found = materialize(near_duplicates(docs, shingle_words).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "component_id"))
-    gone = found.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    gone = materialize(found.where(F.col("__id") != F.col("component_id")).select("__id").distinct())
+    left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     repeated = materialize(found.groupBy("__id").count().where("count > 1").select("__id"))
     if at_most(repeated, 0):
         return left
