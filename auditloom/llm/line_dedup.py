@@ -2,7 +2,8 @@
 
 Pages are documents grouped by host (`source`). For each host and line, the pages that contain the
 line are divided by the host's pages; lines above `max_ratio` on a host with at least `min_pages`
-pages are that host's boilerplate and are dropped from its pages, every occurrence of them.
+pages are that host's boilerplate, if at least `min_line_pages` pages have them (so that two copies on
+a small host don't pass for boilerplate). They are dropped from its pages, every occurrence of them.
 
 Lines are \\n-split and compared without surrounding white space; blank lines are never counted or
 dropped. A line is identified by two 64-bit hashes within its host, so that the shuffle carries 16
@@ -21,6 +22,7 @@ from auditloom.llm.common import WORD_SPACE, at_most, materialize
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
+MIN_LINE_PAGES = 5
 #: Boilerplate lines up to this number are broadcast (16 bytes each); beyond it they are joined.
 BROADCAST_LINES = 200_000
 
@@ -39,7 +41,7 @@ def _line_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _nonblank), line_key))
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = MIN_LINE_PAGES, text: str = "text", host: str = "source") -> DataFrame:
     """One row for each boilerplate line: host, line key, pages with it, pages of the host."""
     pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= min_pages)
@@ -47,7 +49,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
         pages.select("host", F.explode(_line_keys(F.col("text"))).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("pages"))
-        .where(F.col("pages") > max_ratio * min_pages)  # what any host needs at least; cuts rare lines before the join
+        .where((F.col("pages") > max_ratio * min_pages) & (F.col("pages") >= min_line_pages))  # cuts rare lines before the join
     )
     return counted.join(totals, "host").where(F.col("pages") > max_ratio * F.col("host_pages"))
 
@@ -111,7 +113,7 @@ l AS (SELECT rid, source, i, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(10)
       FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, source, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL))),
 t AS (SELECT source, count(*) AS n FROM d WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 10),
 bad AS (SELECT l.source, body FROM l JOIN t ON l.source = t.source WHERE body <> ''
-        GROUP BY l.source, body, n HAVING count(DISTINCT rid) > 0.1 * n),
+        GROUP BY l.source, body, n HAVING count(DISTINCT rid) > 0.1 * n AND count(DISTINCT rid) >= 5),
 k AS (SELECT l.rid, l.i, l.line, l.body, bad.body IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.source = bad.source AND l.body = bad.body),
 a AS (SELECT rid, count(*) FILTER (body <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM k GROUP BY rid)

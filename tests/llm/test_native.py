@@ -65,6 +65,8 @@ def test_line_dedup_edges(spark, bound):
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == expected and out.count() == len(data)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert not texts[100].startswith("menu") and "\n\n" not in texts[100].strip("\n") and texts[5] == "one\n\none\n one \ntwo" and texts[1] is None
+    few = [(i, f"line {i % 3}\nown {i}", "small") for i in range(12)]
+    assert line_dedup.drop_boilerplate(table(spark, few)).where("text <> __was").count() == 0
     clean = line_dedup.dedup_lines(table(spark, data))
     assert clean.columns == table(spark, data).columns
     assert all(r["n_chars"] == len(r["text"] or "") for r in clean.collect())
