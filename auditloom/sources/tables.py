@@ -19,6 +19,11 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
+def inspect(df: DataFrame, n: int = 3) -> tuple[list[tuple[str, str]], DataFrame]:
+    """Columns with their types, and any n rows."""
+    return df.dtypes, df.limit(n)
+
+
 def write_table(df: DataFrame, path: str, compression: str = "zstd", rows_per_file: int | None = None, by_file: str | None = None, mode: str = "errorifexists") -> None:
     """Parquet; `by_file` names a column of file names, whose stems become folders."""
     out = df if by_file is None else df.withColumn("file_stem", file_stem(F.col(by_file)))

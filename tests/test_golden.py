@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import scalars
 from auditloom.operators import edges, graphs, homogeneous, intervals, multigraph, stats, tumbling
-from auditloom.sources import records, tables, windows
+from auditloom.sources import avro, records, tables, windows
 from auditloom.streaming.tumbling import stream_counts
 
 PAIRS = "start_ns bigint, end_ns bigint"
@@ -228,6 +228,16 @@ def test_window_layouts(spark, tmp_path):
     assert windows.read_json(spark, str(tmp_path / "w.json")) == a
 
 
+def test_schema_names(spark, tmp_path):
+    kind = {"type": "enum", "name": "Kind", "symbols": ["A", "B"]}
+    inner = {"type": "record", "name": "Inner", "fields": [{"name": "k", "type": kind}]}
+    doc = [{"type": "record", "name": "Outer", "fields": [{"name": "x", "type": ["null", inner]}, {"name": "y", "type": {"type": "array", "items": "Kind"}}]}]
+    (tmp_path / "s.json").write_text(json.dumps(doc))
+    assert [tuple(r) for r in avro.schema_table(spark, str(tmp_path / "s.json")).collect()] == [("enum", "Kind", ["A", "B"]), ("record", "Inner", ["k"]), ("record", "Outer", ["x", "y"])]
+    names, rows = tables.inspect(spark.range(5), 2)
+    assert names == [("id", "bigint")] and rows.count() == 2
+
+
 def test_multigraph(spark):
     ev = spark.createDataFrame([("e1", "A", 5, "s", "a", "b", 1, "h", 1), ("e2", "A", 6, "s", "s", "", 1, "h", None), ("e3", "A", 700_000_000_000, "s", "a", None, 1, "h", 0)], EVENTS)
     e = multigraph.edges(ev)
