@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from auditloom.llm.common import bounded_batches
 
 #: Words kept in each of the two generations of a worker's memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 def _byte_chars() -> list[str]:
