@@ -41,7 +41,7 @@ END = ""
 _END = END.encode()
 PRIOR_MASS = 10_000.0
 #: Bounds of what travels to every task: words, and characters of such a word.
-SHIPPED_WORDS = 200_000
+SHIPPED_WORDS = 500_000
 SHIPPED_CHARS = 40
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 400_000
@@ -254,15 +254,15 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
             yield pd.DataFrame({"word": frame["word"], "known": (frame["c"] > 0).astype("int64"), "base": base, "lp": lp, "uses": frame["uses"]})
 
     table = stored(counts.mapInPandas(scored, "word string, known long, base double, lp double, uses long"))
-    near = _frequent(table, shipped_words, SHIPPED_CHARS).select("word", "known", "base", "lp").toPandas()  # at most `shipped_words` rows
-    shipped = spark_broadcast(docs, (near["word"].tolist(), near["known"].to_numpy(), near["base"].to_numpy(), near["lp"].to_numpy()))
+    near = _frequent(table, shipped_words, SHIPPED_CHARS).select("word", "known", "base", "lp").toArrow()  # at most `shipped_words` rows
+    shipped = spark_broadcast(docs, (near.column("word").to_pylist(), *[near.column(c).to_numpy() for c in ("known", "base", "lp")]))
 
     def partial(frames):
         """A row for each document with what the shipped words give (`word` starts with a space, as no word does), and one for each other word it has."""
         words, known, base, lp = shipped.value
         at = {w.encode(): k for k, w in enumerate(words)}
         known, base, lp = np.append(known, 0), np.append(base, 0.0), np.append(lp, 0.0)
-        none = len(words)
+        none, find = len(words), at.get
         for frame in frames:
             out = {k: [] for k in ("doc_id", "text_hash", "held_out", "word", "n", "n_known", "base", "lp")}
 
@@ -272,7 +272,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
 
             for doc_id, text, held_out in zip(frame["doc_id"], frame["text"], frame["held_out"]):
                 own = [*words_of_text(text), _END]
-                k = np.fromiter([at.get(w, none) for w in own], dtype=np.int64, count=len(own))
+                k = np.fromiter([find(w, none) for w in own], dtype=np.int64, count=len(own))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
                 put(doc_id, text_hash, held_out, f" {text_hash}", len(own), int(known[k].sum()), float(base[k].sum()), float(lp[k].sum()))
