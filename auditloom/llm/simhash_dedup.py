@@ -15,6 +15,12 @@ the same first segment are put under each value within one bit of their remainin
 that meet differ in 2 bits or fewer, and any two that differ in 2 bits or fewer meet; linking each
 to the smallest one there gives the same components with rows in proportion to the members.
 
+`keep_one` also links texts whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more,
+which is far beyond 2 bits. Candidates share one of `BANDS` bands of `BAND_ROWS` minimum hashes (a pair
+of similarity 0.8 shares none with probability (1 - 0.8^5)^32 = 3e-6) and are verified on their whole
+sets. Buckets of more than `GROUP_CAP` sets are compared with one member at a time, a few times, and
+then pairwise where components still differ, so no pair of a bucket stays undecided.
+
 Copies have one fingerprint and count once. Components come from alternating large-star and
 small-star steps, each written to the checkpoint folder.
 
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import at_most, bounded_batches, broadcast_if_small, materialize
+from auditloom.llm.common import at_most, bounded_batches, broadcast_if_small, materialize, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -41,29 +47,62 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GROUP_CAP = 8
 #: Shingles hashed at a time: bounds memory for very long texts.
 BLOCK = 65_536
+#: Jaccard similarity from which keep_one takes texts for near-duplicates; bands of minimum hashes that find them.
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 32, 5
+#: Rounds in which large buckets are compared with one member, before what is left is compared pairwise.
+STAR_ROUNDS = 4
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_FACTORS, _SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
-
-
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint as an unsigned number."""
+def _shingle_hashes(text: str | None, shingle_words: int):
+    """Hashes of the text's shingles in parts; no part for texts without words."""
     # Lower case and splitting of bytes concern A-Z and the six ASCII white-space characters alone.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     if len(words) < shingle_words:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*[words[k:] for k in range(shingle_words)])))
-    counts = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(shingles), BLOCK):
         part = shingles[at : at + BLOCK]
-        h = np.fromiter((digest(s, SEED) for s in part), dtype="<u8", count=len(part))
+        yield np.fromiter((digest(s, SEED) for s in part), dtype="<u8", count=len(part))
+
+
+def _majority(parts) -> int:
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(shingles)).astype(np.uint8)
+        n += len(h)
+    bits = (2 * counts > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint as an unsigned number."""
+    return _majority(_shingle_hashes(text, shingle_words))
+
+
+def shingle_set(text: str | None, shingle_words: int) -> tuple[int, np.ndarray, bytes]:
+    """The fingerprint, the distinct shingles' hashes in order, and the digest that names this set."""
+    parts = list(_shingle_hashes(text, shingle_words))
+    own = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype="<u8")
+    return _majority(parts), own, xxhash.xxh3_128_digest(own.tobytes())
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A hash of each band of minimum hashes of a set; none for the empty set."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(own), 1024):
+        np.minimum(least, (own[at : at + 1024] * _FACTORS + _SHIFTS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long) of every row."""
 
@@ -129,24 +168,104 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, group_cap: int = GROUP_CAP) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the row's component) of every row."""
-    rows = materialize(fingerprints(docs, shingle_words))
+def _named(rows: DataFrame, edges) -> DataFrame:
+    """doc_id, fp, component_id of every row; edges: from the table of distinct fingerprints to the links between them."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(distinct.select("fp"), group_cap))
+    found = components(edges(distinct.select("fp")))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
     return rows.join(by_fp, rows["fp"] == by_fp["__fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, group_cap: int = GROUP_CAP) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the row's component) of every row."""
+    rows = materialize(fingerprints(docs, shingle_words))
+    return _named(rows, lambda fps: links(fps, group_cap))
+
+
+def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id, fp, key (the digest of the set of shingles), bands of every row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle_words) for t in batch.column("text").to_pylist()]
+            fps = pa.array(np.array([f for f, _, _ in found], dtype=np.uint64).view(np.int64))
+            keys, marks = pa.array([k for _, _, k in found], pa.binary()), pa.array([bands(own) for _, own, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, keys, marks], names=["doc_id", "fp", "key", "bands"])
+
+    bounded_batches(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key binary, bands array<long>")
+
+
+def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """key, own (the distinct shingles' hashes) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle_words) for t in batch.column("text").to_pylist()]
+            own = pa.array([h.view(np.int64) for _, h, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, _, k in found], pa.binary()), own], names=["key", "own"])
+
+    bounded_batches(docs)
+    return docs.select("text").mapInArrow(run, "key binary, own array<long>")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle_words: int, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP) -> DataFrame:
+    """`known` and edges (a, b) between fingerprints, whose components are also those of texts of this similarity.
+
+    rows: the docs' sketches, written. known: links that hold already.
+    """
+    whole = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")))  # equal keys have equal bands
+    sets = whole.select("key", "fp")
+    same = rows.join(sets.select("key", F.col("fp").alias("a")), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    marks = whole.select("key", F.explode("bands").alias("band"))
+    sizes = marks.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialize(marks.join(sizes, "band"))
+    wanted = materialize(buckets.select("key").distinct())
+    own = stored(_sets(docs, shingle_words).join(broadcast_if_small(wanted), "key", "left_semi").dropDuplicates(["key"]).join(sets, "key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links of those of the pairs (x, y) of keys that are similar enough."""
+        one, two = own.select(F.col("key").alias("x"), F.col("fp").alias("a"), F.col("own").alias("p")), own.select(F.col("key").alias("y"), F.col("fp").alias("b"), F.col("own").alias("q"))
+        both = pairs.distinct().join(one, "x").join(two, "y").where(F.least(F.size("p"), F.size("q")) / F.greatest(F.size("p"), F.size("q")) >= similarity)
+        shared = F.size(F.array_intersect("p", "q"))
+        return both.where(shared / (F.size("p") + F.size("q") - shared) >= similarity).select("a", "b").where("a <> b").distinct()
+
+    def across(part: DataFrame, condition: str) -> DataFrame:
+        left, right = part.select("band", *[F.col(c).alias(f"{c}1") for c in part.columns if c != "band"]), part
+        return left.join(right, "band").where(condition).select(F.col("key1").alias("x"), F.col("key").alias("y"))
+
+    edges = known.unionByName(same).unionByName(verified(across(buckets.where(F.col("n") <= group_cap).select("band", "key"), "key1 < key")))
+    edges = materialize(edges)
+    large = buckets.where(F.col("n") > group_cap).select("band", "key")
+    for k in range(STAR_ROUNDS + 1):
+        if at_most(large, 0):
+            break
+        roots = components(edges)
+        named = large.join(sets, "key").join(roots, F.col("fp") == F.col("node"), "left").select("band", "key", F.coalesce("root", "fp").alias("root"))
+        mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+        named = materialize(named.join(mixed, "band", "left_semi"))
+        if k < STAR_ROUNDS:
+            chosen = named.groupBy("band").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(k))).alias("c")).select("band", F.col("c.key").alias("key1"), F.col("c.root").alias("root1"))
+            pairs = named.join(chosen, "band").where("root <> root1").select(F.col("key1").alias("x"), F.col("key").alias("y"))
+        else:
+            pairs = across(named, "root1 < root")
+        edges = materialize(edges.unionByName(verified(pairs)).distinct())
+        large = named.select("band", "key")
+    return edges
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all columns of `docs`.
 
-    Rows that share a doc_id are one document, of which one row stays; rows without a doc_id can't
-    be told apart and stay.
+    Links are those of `near_duplicates` and those of texts whose sets of shingles have this Jaccard
+    similarity or more. Rows that share a doc_id are one document, of which one row stays; rows
+    without a doc_id can't be told apart and stay.
     """
-    found = materialize(near_duplicates(docs, shingle_words).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "component_id"))
+    rows = materialize(sketches(docs, shingle_words))
+    named = _named(rows.select("doc_id", "fp"), lambda fps: similar_links(docs, rows, links(fps, group_cap), shingle_words, similarity, group_cap))
+    found = materialize(named.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "component_id"))
     gone = materialize(found.where(F.col("__id") != F.col("component_id")).select("__id").distinct())
     left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     repeated = materialize(found.groupBy("__id").count().where("count > 1").select("__id"))
