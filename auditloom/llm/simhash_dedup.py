@@ -18,8 +18,11 @@ to the smallest one there gives the same components with rows in proportion to t
 `keep_one` also links texts whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more,
 which is far beyond 2 bits. Candidates share one of `BANDS` bands of `BAND_ROWS` minimum hashes (a pair
 of similarity 0.8 shares none with probability (1 - 0.8^5)^32 = 3e-6) and are verified on their whole
-sets. Buckets of more than `GROUP_CAP` sets are compared with one member at a time, a few times, and
-then pairwise where components still differ, so no pair of a bucket stays undecided.
+sets. Each bucket's members are first compared with its hub, the member that meets most others, and
+where components still differ with a second one; so rows grow with the members and not with their
+pairs. Buckets that hold several components after that go whole, in blocks of bounded size, to tasks
+that compare all that is left to compare and return only links that join components. So no pair of a
+bucket stays undecided.
 
 Copies have one fingerprint and count once. Components come from alternating large-star and
 small-star steps, each written to the checkpoint folder.
@@ -31,6 +34,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,11 +55,14 @@ BLOCK = 65_536
 #: Jaccard similarity from which keep_one takes texts for near-duplicates; bands of minimum hashes that find them.
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
-#: Rounds in which large buckets are compared with one member, before what is left is compared pairwise.
-STAR_ROUNDS = 4
+#: Rounds in which buckets are compared with one member, before what is left is compared in blocks.
+STAR_ROUNDS = 2
+#: Shingles (8 bytes each) of a block; a task compares two blocks at a time.
+BLOCK_SHINGLES = 500_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 _FACTORS, _SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
+
 def _shingle_hashes(text: str | None, shingle_words: int):
     """Hashes of the text's shingles in parts; no part for texts without words."""
     # Lower case and splitting of bytes concern A-Z and the six ASCII white-space characters alone.
@@ -185,21 +193,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, group_c
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, fp, key (the digest of the set of shingles), bands of every row."""
+    """doc_id, fp, key (the digest of the set of shingles), n (their number), bands of every row."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(t, shingle_words) for t in batch.column("text").to_pylist()]
             fps = pa.array(np.array([f for f, _, _ in found], dtype=np.uint64).view(np.int64))
             keys, marks = pa.array([k for _, _, k in found], pa.binary()), pa.array([bands(own) for _, own, _ in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, keys, marks], names=["doc_id", "fp", "key", "bands"])
+            sizes = pa.array([len(own) for _, own, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, keys, sizes, marks], names=["doc_id", "fp", "key", "n", "bands"])
 
     bounded_batches(docs)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key binary, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key binary, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """key, own (the distinct shingles' hashes) of every row."""
+    """key, own (the distinct shingles' hashes, in order) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -211,67 +220,139 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, own array<long>")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle_words: int, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP) -> DataFrame:
+def spanning(sets: list[np.ndarray], roots: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets of different roots: enough of them that whatever roots similar sets join, these join.
+
+    Each set whose root is not the most frequent one is compared with all others through the list of
+    who has which shingle. A root that has come to the most frequent one by then needs no more
+    comparing: what it is similar to has come there too, or makes the comparison itself.
+    """
+    parent = {r: r for r in roots}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    most = max(parent, key=Counter(roots).__getitem__)
+    sizes = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    labels = np.array(roots)
+    found = []
+    for i, own in enumerate(sets):
+        if find(roots[i]) == find(most):
+            continue
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero((shared / (sizes + len(own) - shared) >= similarity) & (labels != roots[i])).tolist():
+            if find(roots[i]) != find(roots[j]):
+                parent[find(roots[i])] = find(roots[j])
+                found.append((i, j))
+    return found
+
+
+def _block_links(similarity: float):
+    """Function over rows (band, i, j, fp, root, own) that arrive by (band, i, j): edges between similar sets of other roots."""
+
+    def run(batches):
+        group, fps, roots, sets = None, [], [], []
+
+        def edges():
+            at = spanning(sets, roots, similarity) if len(set(roots)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([fps[x] for x, _ in at], pa.int64()), pa.array([fps[y] for _, y in at], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            own = batch.column("own")
+            ends, flat = own.offsets.to_numpy(), own.values.to_numpy()
+            cols = [batch.column(c).to_pylist() for c in ("band", "i", "j", "fp", "root")]
+            for k, (*name, fp, root) in enumerate(zip(*cols)):
+                if name != group:
+                    yield edges()
+                    group, fps, roots, sets = name, [], [], []
+                fps.append(fp)
+                roots.append(root)
+                sets.append(flat[ends[k] : ends[k + 1]].copy())
+        yield edges()
+
+    return run
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle_words: int, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """`known` and edges (a, b) between fingerprints, whose components are also those of texts of this similarity.
 
     rows: the docs' sketches, written. known: links that hold already.
     """
-    whole = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")))  # equal keys have equal bands
-    sets = whole.select("key", "fp")
-    same = rows.join(sets.select("key", F.col("fp").alias("a")), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    marks = whole.select("key", F.explode("bands").alias("band"))
-    sizes = marks.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(marks.join(sizes, "band"))
-    wanted = materialize(buckets.select("key").distinct())
-    own = stored(_sets(docs, shingle_words).join(broadcast_if_small(wanted), "key", "left_semi").dropDuplicates(["key"]).join(sets, "key"))
+    whole = rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    whole = materialize(whole.withColumn("id", F.monotonically_increasing_id()))  # equal keys have equal bands; written once, so ids stay
+    same = rows.join(whole.select("key", F.col("fp").alias("a")), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    marks = whole.select("id", "fp", "n", F.explode("bands").alias("band"))
+    sizes = marks.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = marks.join(sizes, "band").groupBy("id", "fp", "n").agg(F.collect_list(F.struct("band", "members")).alias("own"))  # at most BANDS of a set
+    met = materialize(met.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["members"])))
+    buckets = met.select("id", "fp", "n", "weight", F.inline("own"))
+    texts = broadcast_if_small(materialize(whole.join(met.select("id"), "id", "left_semi").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))))
+    id_ = docs["doc_id"].cast("long")
+    wanted = docs.where(id_.isNull()).select("text").unionByName(docs.join(texts, id_ == F.col("__id"), "left_semi").select("text"))
+    own = _sets(wanted, shingle_words).dropDuplicates(["key"]).join(whole.select("key", "id", "fp"), "key")
+    own = stored(own.join(met.select("id"), "id", "left_semi").select("id", "fp", "own"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links of those of the pairs (x, y) of keys that are similar enough."""
-        one, two = own.select(F.col("key").alias("x"), F.col("fp").alias("a"), F.col("own").alias("p")), own.select(F.col("key").alias("y"), F.col("fp").alias("b"), F.col("own").alias("q"))
-        both = pairs.distinct().join(one, "x").join(two, "y").where(F.least(F.size("p"), F.size("q")) / F.greatest(F.size("p"), F.size("q")) >= similarity)
+        """Links of those of the pairs (x, y) of ids that are similar enough. Many have the same x, which is joined last."""
+        one, two = own.select(F.col("id").alias("x"), F.col("fp").alias("a"), F.col("own").alias("p")), own.select(F.col("id").alias("y"), F.col("fp").alias("b"), F.col("own").alias("q"))
+        both = pairs.distinct().join(two, "y").join(one, "x")
         shared = F.size(F.array_intersect("p", "q"))
         return both.where(shared / (F.size("p") + F.size("q") - shared) >= similarity).select("a", "b").where("a <> b").distinct()
 
-    def across(part: DataFrame, condition: str) -> DataFrame:
-        left, right = part.select("band", *[F.col(c).alias(f"{c}1") for c in part.columns if c != "band"]), part
-        return left.join(right, "band").where(condition).select(F.col("key1").alias("x"), F.col("key").alias("y"))
+    def fits(x: str, y: str):  # sets whose sizes allow the similarity
+        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6
 
-    edges = known.unionByName(same).unionByName(verified(across(buckets.where(F.col("n") <= group_cap).select("band", "key"), "key1 < key")))
-    edges = materialize(edges)
-    large = buckets.where(F.col("n") > group_cap).select("band", "key")
-    for k in range(STAR_ROUNDS + 1):
-        if at_most(large, 0):
-            break
+    hub = F.struct(F.col("id").alias("x"), F.col("n").alias("n_x"))
+    first = buckets.groupBy("band").agg(F.max_by(hub, F.struct("weight", "id")).alias("h")).select("band", "h.*")
+    pairs = buckets.join(first, "band").where((F.col("id") != F.col("x")) & fits("n", "n_x")).select("x", F.col("id").alias("y"))
+    edges = materialize(known.unionByName(same).unionByName(verified(pairs)).distinct())
+    for k in range(1, STAR_ROUNDS + 1):
         roots = components(edges)
-        named = large.join(sets, "key").join(roots, F.col("fp") == F.col("node"), "left").select("band", "key", F.coalesce("root", "fp").alias("root"))
+        named = buckets.where("members > 2").join(roots, F.col("fp") == F.col("node"), "left").select("band", "id", "fp", "n", F.coalesce("root", "fp").alias("root"))
         mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
         named = materialize(named.join(mixed, "band", "left_semi"))
+        if at_most(named, 0):
+            return edges
         if k < STAR_ROUNDS:
-            chosen = named.groupBy("band").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(k))).alias("c")).select("band", F.col("c.key").alias("key1"), F.col("c.root").alias("root1"))
-            pairs = named.join(chosen, "band").where("root <> root1").select(F.col("key1").alias("x"), F.col("key").alias("y"))
-        else:
-            pairs = across(named, "root1 < root")
-        edges = materialize(edges.unionByName(verified(pairs)).distinct())
-        large = named.select("band", "key")
-    return edges
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP) -> DataFrame:
+            hub = F.struct(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+            chosen = named.groupBy("band").agg(F.min_by(hub, F.xxhash64("id", F.lit(k))).alias("h")).select("band", "h.*")
+            pairs = named.join(chosen, "band").where((F.col("root") != F.col("root_x")) & fits("n", "n_x")).select("x", F.col("id").alias("y"))
+            edges = materialize(edges.unionByName(verified(pairs)).distinct())
+    dealt = named.groupBy("band").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    rest = named.join(dealt, "band").join(own.select("id", "own"), "id").withColumn("i", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rest = rest.select("band", "i", "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    rest = rest.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "root", "own")
+    found = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_block_links(similarity), "a long, b long")
+    return edges.unionByName(found).distinct()
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all columns of `docs`.
 
     Links are those of `near_duplicates` and those of texts whose sets of shingles have this Jaccard
-    similarity or more. Rows that share a doc_id are one document, of which one row stays; rows
-    without a doc_id can't be told apart and stay.
+    similarity or more. Rows that share a doc_id are one document, of which the row of the smallest
+    text hash stays; rows without a doc_id can't be told apart and stay.
     """
     rows = materialize(sketches(docs, shingle_words))
-    named = _named(rows.select("doc_id", "fp"), lambda fps: similar_links(docs, rows, links(fps, group_cap), shingle_words, similarity, group_cap))
+    named = _named(rows.select("doc_id", "fp"), lambda fps: similar_links(docs, rows, links(fps, group_cap), shingle_words, similarity, block_shingles))
     found = materialize(named.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "component_id"))
     gone = materialize(found.where(F.col("__id") != F.col("component_id")).select("__id").distinct())
     left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     repeated = materialize(found.groupBy("__id").count().where("count > 1").select("__id"))
     if at_most(repeated, 0):
         return left
-    once = left.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    row, order = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    once = left.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, order).alias("r"))
+    once = once.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(docs.columns)])
     return left.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
 
 

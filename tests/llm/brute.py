@@ -36,6 +36,25 @@ def components(fps, bits=2):
     return [root(i) for i in range(len(fps))]
 
 
+def shingles(text, k=5):
+    words = WORD.findall((text or "").translate(UPPER))
+    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or {" ".join(words)}
+
+
+def kept_ids(data, similarity=0.8):
+    """doc_id of what stays: the smallest of each component of links by Jaccard similarity of five-word shingles or by 2 bits."""
+    sets, fps = [shingles(t) for _, t in data], [fingerprint(t, 5) for _, t in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if root[i] != root[j] and ((fps[i] ^ fps[j]).bit_count() <= 2 or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity):
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for (d, _), r in zip(data, root):
+        groups.setdefault(r, []).append(d)
+    return sorted(min(g) for g in groups.values())
+
+
 def repeats(rows, length=100):
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text); a null doc_id comes first."""
     key = lambda d: (d is not None, d or 0)

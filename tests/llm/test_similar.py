@@ -2,31 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from auditloom.llm import simhash_dedup
 from tests.llm import brute
 
 
-def shingles(text, k=5):
-    words = brute.WORD.findall((text or "").translate(brute.UPPER))
-    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or {" ".join(words)}
-
-
-def kept_ids(data, similarity=0.8):
-    """doc_id of what stays: the smallest of each component of links by similarity or by 2 bits."""
-    sets, fps = [shingles(t) for _, t in data], [brute.fingerprint(t, 5) for _, t in data]
-    root = list(range(len(data)))
-    for i in range(len(data)):
-        for j in range(i):
-            if root[i] != root[j] and ((fps[i] ^ fps[j]).bit_count() <= 2 or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity):
-                root = [root[j] if r == root[i] else r for r in root]
-    groups = {}
-    for (d, _), r in zip(data, root):
-        groups.setdefault(r, []).append(d)
-    return sorted(min(g) for g in groups.values())
-
-
 def changed(rnd, words, places):
     words = list(words)
     for at in places:
@@ -34,8 +16,26 @@ def changed(rnd, words, places):
     return words
 
 
-@pytest.mark.parametrize("cap", [2, 8])
-def test_keep_one_by_similarity(spark, cap):
+def test_spanning_joins_what_similar_sets_join():
+    rnd = random.Random(4)
+    for _ in range(40):
+        sets = [np.array(sorted(rnd.sample(range(14), rnd.randint(8, 13)))) for _ in range(rnd.randint(2, 25))]
+        roots = [rnd.randrange(6) for _ in sets]
+
+        def joined(pairs):
+            label = {r: r for r in roots}
+            for i, j in pairs:
+                a, b = label[roots[i]], label[roots[j]]
+                label = {r: a if x == b else x for r, x in label.items()}
+            return {frozenset(r for r in label if label[r] == x) for x in label.values()}
+
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8]
+        found = simhash_dedup.spanning(sets, roots, 0.8)
+        assert set(map(lambda p: (max(p), min(p)), found)) <= set(every) and joined(found) == joined(every)
+
+
+@pytest.mark.parametrize("cap, block", [(2, 700), (8, 500_000)])
+def test_keep_one_by_similarity(spark, cap, block):
     rnd = random.Random(8)
     texts = [None, "", "one two", "One  two"]
     for edits in (0, 1, 2, 3, 4, 5, 6, 8):  # similarities from 1 down to about 0.7
@@ -48,6 +48,6 @@ def test_keep_one_by_similarity(spark, cap):
         texts.append(" ".join(base))
     data = list(enumerate(texts))
     rnd.shuffle(data)
-    got = simhash_dedup.keep_one(spark.createDataFrame(data, "doc_id long, text string"), group_cap=cap)
-    assert sorted(r["doc_id"] for r in got.collect()) == kept_ids(data)
-    assert kept_ids(data) != kept_ids(data, 2)
+    got = simhash_dedup.keep_one(spark.createDataFrame(data, "doc_id long, text string"), group_cap=cap, block_shingles=block)
+    assert sorted(r["doc_id"] for r in got.collect()) == brute.kept_ids(data)
+    assert brute.kept_ids(data) != brute.kept_ids(data, 2)
