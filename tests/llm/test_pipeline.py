@@ -19,10 +19,8 @@ def brute_pipeline(rows, items):
             seen[source[d], line] = seen.get((source[d], line), 0) + 1
     bad = {k for k, n in seen.items() if pages[k[0]] >= 10 and n > 0.1 * pages[k[0]] and n >= 5}
     stripped = [(d, "\n".join(x for x in t.split("\n") if (source[d], x.strip(" \t\n\x0b\x0c\r")) not in bad)) for d, t in passed]
-    groups = {}
-    for (d, t), c in zip(stripped, brute.components([brute.fingerprint(t, 5) for _, t in stripped])):
-        groups.setdefault(c, []).append((d, t))
-    one = [min(g) for g in groups.values()]
+    stay = set(brute.kept_ids(stripped))
+    one = [(d, t) for d, t in stripped if d in stay]
     leaks = {d for d, _ in brute.overlaps(one, items)}
     codec = bpe.Codec(bpe.load(bpe.default_path()))
     return sorted((d, array("I", codec.encode(t)).tolist()) for d, t in one if d not in leaks)
