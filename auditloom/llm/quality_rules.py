@@ -2,13 +2,16 @@
 
 A document fails the base rules when it has too few words or when too many of its words lie in
 repeated word windows. Failures are aggregated by host (the `source` column); each host's failure
-rate is shrunk towards the corpus by a beta prior whose two parameters are fitted to the hosts'
-rates by the method of moments, so that a host with few documents needs stronger evidence. Hosts
+rate is shrunk towards the corpus by a beta prior, so that a host with few documents needs stronger
+evidence. The prior's mean is the corpus' rate; its strength comes from the spread between the hosts'
+rates, weighted by documents and less the spread that drawing so many documents from equal hosts
+would give (moments of the beta-binomial), held between 1 and `FLAT_PRIOR` pseudo-documents. Hosts
 whose shrunk rate exceeds `max_host_rate` are rejected, and the verdict is joined back.
 
 Defined results: a null or blank text has no words and fails; a null host is no host, so only the
-document's own rules decide; repeated rows are judged one by one; an empty table gives no rows;
-columns besides the ones named are ignored.
+document's own rules decide; repeated rows are judged one by one; a rate that ties with the bound is
+kept; whole texts of any length are read; an empty table gives no rows; columns besides the ones named
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import WORD_BREAK, broadcast_if_small, let, materialize, words_of
+from auditloom.llm.common import WORD_BREAK, broadcast_if_small, let, materialize, stored, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
 MAX_HOST_RATE = 0.5
-#: Pseudo-documents of the prior when all hosts have the same rate.
+#: Pseudo-documents of the prior when hosts differ no more than by chance; its most.
 FLAT_PRIOR = 1000.0
 
 
@@ -84,17 +87,26 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def prior(hosts: int, docs: float | None, squares: float | None, failed: float | None, spread: float | None) -> tuple[float, float]:
+    """Mean and pseudo-documents of the beta prior, from the hosts' sums of 1, n, n * n, k and k * k / n (n documents, k failed)."""
+    mean = failed / docs if docs else 0.0
+    if not 0 < mean < 1:
+        return mean, FLAT_PRIOR
+    between = (spread - failed * mean) / (mean * (1 - mean)) - (hosts - 1)
+    most = docs - squares / docs - (hosts - 1)
+    share = between / most if most > 0 else 0.0
+    return mean, min(max(1 / share - 1, 1.0), FLAT_PRIOR) if share > 0 else FLAT_PRIOR
+
+
 def host_verdicts(judged: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: documents, failures, prior, shrunk rate, rejected. Needs `base_failed`."""
     hosts = materialize(
         judged.where(F.col(host).isNotNull())
         .groupBy(F.col(host).alias("host"))
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-        .withColumn("rate", F.col("n_failed") / F.col("n_docs"))
     )
-    mean, var = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()  # two numbers
-    mean, var = mean or 0.0, var or 0.0
-    strength = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else FLAT_PRIOR
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    mean, strength = prior(*hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * n), F.sum(k), F.sum(k * k / n)).first())  # five numbers
     alpha, beta = mean * strength, (1 - mean) * strength
     shrunk = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
     return hosts.select(
@@ -120,10 +132,11 @@ def judge(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass, with all their columns. The text is not shuffled: the rules run a second time instead."""
+    """The documents that pass, with all their columns. The rules run once: what passes them is written with its text, of the rest the host alone."""
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"), docs["source"].alias("__source"))
-    judged = base_rules(own, "__text")
-    verdicts = host_verdicts(base_rules(docs.select("text", "source")), max_host_rate=max_host_rate)
+    judged = base_rules(own, "__text").select("__source", "base_failed", F.when(~F.col("base_failed"), F.col("__row")).alias("__row"))
+    judged = stored(judged)
+    verdicts = host_verdicts(judged.select(F.col("__source").alias("source"), "base_failed"), max_host_rate=max_host_rate)
     rejected = broadcast_if_small(materialize(verdicts.where("host_rejected").select(F.col("host").alias("__host"))))
     return judged.where(~F.col("base_failed")).join(rejected, F.col("__source") == F.col("__host"), "left_anti").select("__row.*")
 
@@ -150,8 +163,10 @@ b AS (SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
       FROM w LEFT JOIN cov ON w.rid = cov.rid),
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM b),
 h AS (SELECT source AS host, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM h),
-pr AS (SELECT mu, CASE WHEN v > 0 THEN greatest(mu * (1 - mu) / v - 1, 1.0) ELSE 1000.0 END AS s FROM m),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS c, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(n AS DOUBLE) * n) AS q, CAST(sum(k) AS DOUBLE) AS k, sum(CAST(k AS DOUBLE) * k / n) AS r FROM h),
+e AS (SELECT CASE WHEN n > 0 THEN k / n ELSE 0.0 END AS mu, c, n, q, k, r FROM m),
+sh AS (SELECT mu, CASE WHEN mu > 0 AND mu < 1 AND n - q / n - (c - 1) > 0 THEN ((r - k * mu) / (mu * (1 - mu)) - (c - 1)) / (n - q / n - (c - 1)) ELSE 0.0 END AS rho FROM e),
+pr AS (SELECT mu, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM sh),
 vd AS (SELECT host, (k + mu * s) / (n + s) > 0.5 AS rejected FROM h, pr)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected
