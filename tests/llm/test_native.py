@@ -56,8 +56,22 @@ def test_quality_rules_one_host_and_empty(spark):
     assert quality_rules.judge(table(spark, [(1, LONG, "a"), (2, None, None)])).count() == 2
 
 
+def test_prior_takes_noise_off():
+    rnd = random.Random(6)
+
+    def fitted(hosts):
+        return quality_rules.prior(len(hosts), sum(n for n, _ in hosts), sum(n * n for n, _ in hosts), sum(k for _, k in hosts), sum(k * k / n for n, k in hosts))
+
+    equal = [(n, sum(rnd.random() < 0.3 for _ in range(n))) for n in (rnd.randint(1, 6) for _ in range(3000))]
+    apart = [(n, sum(rnd.random() < p for _ in range(n))) for n, p in ((rnd.randint(1, 6), rnd.betavariate(3, 7)) for _ in range(20000))]
+    assert fitted(equal)[1] > 50  # the hosts are alike, however much their rates of few documents differ
+    assert fitted(apart)[0] == pytest.approx(0.3, abs=0.02) and 7 < fitted(apart)[1] < 14
+    assert quality_rules.prior(0, None, None, None, None) == (0.0, quality_rules.FLAT_PRIOR) and fitted([(5, 5)])[0] == 1
+    assert fitted([(50, 50), (50, 0)])[1] == 1.0
+
+
 @pytest.mark.parametrize("bound", [0, 1000])
-def test_line_dedup_edges(spark, bound):
+def test_line_dedup_edges(spark, bound):  # 0: found lines are joined
     data = edge_rows()
     out = line_dedup.drop_boilerplate(table(spark, data), broadcast_lines=bound)
     expected = {(r[0], r[3]) for r in sql_rows(line_dedup.SQL, tables={"documents": _frame(data)})[1]}
@@ -65,6 +79,8 @@ def test_line_dedup_edges(spark, bound):
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == expected and out.count() == len(data)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert not texts[100].startswith("menu") and "\n\n" not in texts[100].strip("\n") and texts[5] == "one\n\none\n one \ntwo" and texts[1] is None
+    small = [(i, f"menu {i % 2}\nown {i}", "tiny") for i in range(8)] + [(20 + i, "same text", "pair") for i in range(3)]
+    assert {r["text"] for r in line_dedup.drop_boilerplate(table(spark, small)).collect()} == {f"own {i}" for i in range(8)} | {"same text"}
     few = [(i, f"line {i % 3}\nown {i}", "small") for i in range(12)]
     assert line_dedup.drop_boilerplate(table(spark, few)).where("text <> __was").count() == 0
     clean = line_dedup.dedup_lines(table(spark, data))

@@ -17,7 +17,7 @@ def brute_pipeline(rows, items):
         pages[source[d]] = pages.get(source[d], 0) + 1
         for line in {x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")} - {""}:
             seen[source[d], line] = seen.get((source[d], line), 0) + 1
-    bad = {k for k, n in seen.items() if pages[k[0]] >= 10 and n > 0.1 * pages[k[0]] and n >= 5}
+    bad = {k for k, n in seen.items() if n / (pages[k[0]] + 30) > 0.1}
     stripped = [(d, "\n".join(x for x in t.split("\n") if (source[d], x.strip(" \t\n\x0b\x0c\r")) not in bad)) for d, t in passed]
     stay = set(brute.kept_ids(stripped))
     one = [(d, t) for d, t in stripped if d in stay]
