@@ -18,11 +18,10 @@ to the smallest one there gives the same components with rows in proportion to t
 `keep_one` also links texts whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more,
 which is far beyond 2 bits. Candidates share one of `BANDS` bands of `BAND_ROWS` minimum hashes (a pair
 of similarity 0.8 shares none with probability (1 - 0.8^5)^32 = 3e-6) and are verified on their whole
-sets. Each bucket's members are first compared with its hub, the member that meets most others, and
-where components still differ with a second one; so rows grow with the members and not with their
-pairs. Buckets that hold several components after that go whole, in blocks of bounded size, to tasks
-that compare all that is left to compare and return only links that join components. So no pair of a
-bucket stays undecided.
+sets. Each bucket's members are first compared with its hub, the member that meets most others, so
+that rows grow with the members and not with their pairs. Buckets of which some members aren't linked
+to the hub go, in blocks of bounded size, to tasks that compare those with all others and return only
+links that join what isn't joined. So no pair of a bucket stays undecided.
 
 Copies have one fingerprint and count once. Components come from alternating large-star and
 small-star steps, each written to the checkpoint folder.
@@ -55,8 +54,6 @@ BLOCK = 65_536
 #: Jaccard similarity from which keep_one takes texts for near-duplicates; bands of minimum hashes that find them.
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
-#: Rounds in which buckets are compared with one member, before what is left is compared in blocks.
-STAR_ROUNDS = 2
 #: Shingles (8 bytes each) of a block; a task compares two blocks at a time.
 BLOCK_SHINGLES = 500_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
@@ -162,7 +159,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v > m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = both.where("v > u").join(low, "u").where("v > m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         small = small.select(F.col("m").alias("lo"), "hi").unionByName(small.where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
@@ -301,38 +298,25 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle_wo
     own = _sets(wanted, shingle_words).dropDuplicates(["key"]).join(whole.select("key", "id", "fp"), "key")
     own = stored(own.join(met.select("id"), "id", "left_semi").select("id", "fp", "own"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links of those of the pairs (x, y) of ids that are similar enough. Many have the same x, which is joined last."""
-        one, two = own.select(F.col("id").alias("x"), F.col("fp").alias("a"), F.col("own").alias("p")), own.select(F.col("id").alias("y"), F.col("fp").alias("b"), F.col("own").alias("q"))
-        both = pairs.distinct().join(two, "y").join(one, "x")
-        shared = F.size(F.array_intersect("p", "q"))
-        return both.where(shared / (F.size("p") + F.size("q") - shared) >= similarity).select("a", "b").where("a <> b").distinct()
-
-    def fits(x: str, y: str):  # sets whose sizes allow the similarity
-        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6
-
+    # Each bucket's hub is compared with all other members whose sizes allow the similarity. Many pairs have the same hub, which is joined last.
     hub = F.struct(F.col("id").alias("x"), F.col("n").alias("n_x"))
-    first = buckets.groupBy("band").agg(F.max_by(hub, F.struct("weight", "id")).alias("h")).select("band", "h.*")
-    pairs = buckets.join(first, "band").where((F.col("id") != F.col("x")) & fits("n", "n_x")).select("x", F.col("id").alias("y"))
-    edges = materialize(known.unionByName(same).unionByName(verified(pairs)).distinct())
-    for k in range(1, STAR_ROUNDS + 1):
-        roots = components(edges)
-        named = buckets.where("members > 2").join(roots, F.col("fp") == F.col("node"), "left").select("band", "id", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        named = materialize(named.join(mixed, "band", "left_semi"))
-        if at_most(named, 0):
-            return edges
-        if k < STAR_ROUNDS:
-            hub = F.struct(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-            chosen = named.groupBy("band").agg(F.min_by(hub, F.xxhash64("id", F.lit(k))).alias("h")).select("band", "h.*")
-            pairs = named.join(chosen, "band").where((F.col("root") != F.col("root_x")) & fits("n", "n_x")).select("x", F.col("id").alias("y"))
-            edges = materialize(edges.unionByName(verified(pairs)).distinct())
-    dealt = named.groupBy("band").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    rest = named.join(dealt, "band").join(own.select("id", "own"), "id").withColumn("i", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rest = rest.select("band", "i", "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    hubs = buckets.groupBy("band").agg(F.max_by(hub, F.struct("weight", "id")).alias("h")).select("band", "h.*")
+    members = materialize(buckets.join(hubs, "band"))
+    fits = F.least("n", "n_x") >= similarity * F.greatest("n", "n_x") - 1e-6
+    pairs = members.where((F.col("id") != F.col("x")) & fits).select("x", F.col("id").alias("y")).distinct()
+    one, two = own.select(F.col("id").alias("x"), F.col("fp").alias("a"), F.col("own").alias("p")), own.select(F.col("id").alias("y"), F.col("fp").alias("b"), F.col("own").alias("q"))
+    shared = F.size(F.array_intersect("p", "q"))
+    near = pairs.join(two, "y").join(one, "x").where(shared / (F.size("p") + F.size("q") - shared) >= similarity)
+    near = materialize(near.select("x", "y", "a", "b"))
+    # Members that their hub links have its name, any other its own. Buckets of three or more with several names go on to the blocks.
+    linked = members.where("members > 2").join(near.select("x", F.col("y").alias("id"), F.lit(True).alias("near")), ["x", "id"], "left")
+    named = linked.select("band", "id", "fp", "n", F.when(F.coalesce("near", F.lit(False)), F.col("x")).otherwise(F.col("id")).alias("root"))
+    dealt = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    rest = named.join(dealt.where("lo < hi").select("band", "blocks"), "band").join(own.select("id", "own"), "id")
+    rest = rest.select("band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("i"), "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     rest = rest.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "root", "own")
     found = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_block_links(similarity), "a long, b long")
-    return edges.unionByName(found).distinct()
+    return known.unionByName(same).unionByName(near.select("a", "b")).unionByName(found).where("a <> b")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, group_cap: int = GROUP_CAP, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
