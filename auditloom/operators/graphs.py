@@ -46,11 +46,32 @@ def node_type_lookup(uuids: DataFrame, tables: list[tuple[str, DataFrame]]) -> D
     return uuids.join(first, "uuid", "left").withColumn("node_type", F.coalesce("node_type", F.lit("unknown")))
 
 
+def in_order(df: DataFrame, keys: list[str], column: str, letters: int = 4) -> DataFrame:
+    """df with `place`: from 0 in the order of the text `column` within the keys.
+
+    Rows are numbered within the first letters of the text, and the rows of all smaller beginnings are
+    added; so a large group is sorted by as many tasks as it has beginnings. Counts of beginnings are a
+    small table.
+    """
+    own = df.withColumn("__p", F.substring(column, 1, letters))
+    counts = own.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(column)) - 1
+    out = own.withColumn("__within", within).join(counts, [*keys, "__p"])
+    return out.withColumn("place", (F.col("__before") + F.col("__within")).cast("long")).drop("__p", "__within", "__before")
+
+
+def one_row(table: DataFrame, key: str = "uuid") -> DataFrame:
+    """One row for each key, whichever order rows come in: the greatest by its other columns."""
+    rest = F.struct(*[c for c in table.columns if c != key])
+    return table.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rest).alias("__r")).select(key, "__r.*")
+
+
 def graph_nodes(kept_edges: DataFrame, types: DataFrame) -> DataFrame:
     """window_id, node_type, uuid, node_idx: places from 0 within window and type, in the order of the uuids."""
     nodes = window_nodes(kept_edges).join(types, "uuid")
-    place = F.row_number().over(Window.partitionBy("window_id", "node_type").orderBy("uuid")) - 1
-    return nodes.select("window_id", "node_type", "uuid", place.cast("long").alias("node_idx"))
+    return in_order(nodes, ["window_id", "node_type"], "uuid").select("window_id", "node_type", "uuid", F.col("place").alias("node_idx"))
 
 
 def graph_edges(kept_edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -85,7 +106,7 @@ def _degrees() -> Column:
 
 def subject_features(nodes: DataFrame, subjects: DataFrame, windows: DataFrame) -> DataFrame:
     """38 columns: has parent, start position, 32 token bins, cid mod 8, degrees. nodes: with degrees."""
-    own = nodes.where(F.col("node_type") == "subject").join(subjects.dropDuplicates(["uuid"]), "uuid").join(windows.select("window_id", "start_ns", "end_ns"), "window_id")
+    own = nodes.where(F.col("node_type") == "subject").join(one_row(subjects), "uuid").join(windows.select("window_id", "start_ns", "end_ns"), "window_id")
     position = relative_position(F.col("startTimestampNanos"), F.col("start_ns"), F.col("end_ns"))
     head = _floats(F.col("parentSubject").isNotNull().cast("int"), position)
     tail = _floats(F.pmod(F.coalesce("cid", F.lit(0)), F.lit(8)))
@@ -94,8 +115,11 @@ def subject_features(nodes: DataFrame, subjects: DataFrame, windows: DataFrame)
 
 def file_type_codes(nodes: DataFrame, fileobjects: DataFrame) -> DataFrame:
     """window_id, uuid, file_type, code: types of the window's files in order, from 1; a null type is UNK."""
-    own = nodes.where(F.col("node_type") == "fileobject").join(fileobjects.dropDuplicates(["uuid"]).select("uuid", F.coalesce("file_type", F.lit("UNK")).alias("file_type")), "uuid")
-    return own.withColumn("code", F.dense_rank().over(Window.partitionBy("window_id").orderBy("file_type")))
+    own = nodes.where(F.col("node_type") == "fileobject").join(one_row(fileobjects.select("uuid", F.coalesce("file_type", F.lit("UNK")).alias("file_type"))), "uuid")
+    # Few types: they are numbered by themselves and joined, so that a window's files are never sorted in one task.
+    types = own.select("window_id", "file_type").distinct()
+    codes = types.withColumn("code", F.row_number().over(Window.partitionBy("window_id").orderBy("file_type")))
+    return own.join(codes, ["window_id", "file_type"])
 
 
 def file_features(nodes: DataFrame, fileobjects: DataFrame) -> DataFrame:
@@ -106,7 +130,7 @@ def file_features(nodes: DataFrame, fileobjects: DataFrame) -> DataFrame:
 
 def netflow_features(nodes: DataFrame, netflows: DataFrame) -> DataFrame:
     """8 columns: local address and port, remote address and port, protocol, degrees."""
-    own = nodes.where(F.col("node_type") == "netflow").join(netflows.dropDuplicates(["uuid"]), "uuid")
+    own = nodes.where(F.col("node_type") == "netflow").join(one_row(netflows), "uuid")
     zero = lambda c: F.coalesce(c, F.lit(0))
     head = _floats(address_code(F.col("localAddress")), zero("localPort"), address_code(F.col("remoteAddress")), zero("remotePort"), zero("ipProtocol"))
     return own.select("window_id", "node_idx", "uuid", F.concat(head, _degrees()).alias("x"))

@@ -16,10 +16,19 @@ def label_by_overlap(windows: DataFrame, attacks: DataFrame) -> DataFrame:
     return windows.drop("label").join(hit, "window_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def edges(window_events: DataFrame, labelled_windows: DataFrame, max_edges: int = 100_000) -> DataFrame:
-    """window_id, src, dst, event_type, pos (place in the window), label: the first `max_edges` events of each window."""
-    order = F.row_number().over(Window.partitionBy("window_id").orderBy("timestampNanos", "uuid"))
-    own = window_events.withColumn("__k", order).where(F.col("__k") <= max_edges)
+def edges(window_events: DataFrame, labelled_windows: DataFrame, max_edges: int = 100_000, slices: int = 256) -> DataFrame:
+    """window_id, src, dst, event_type, pos (place in the window), label: the first `max_edges` events of each window.
+
+    Events are counted by slices of the window first; only those up to the slice in which the bound is
+    reached are put in order.
+    """
+    share = clipped_share(F.col("timestampNanos") - F.col("start_ns"), F.col("end_ns") - F.col("start_ns"))
+    own = window_events.withColumn("__slice", F.floor(share * slices).cast("int"))
+    counts = own.groupBy("window_id", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("window_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = counts.select("window_id", "__slice", F.coalesce(before, F.lit(0)).alias("__before")).where(F.col("__before") < max_edges)
+    order = F.row_number().over(Window.partitionBy("window_id", "__slice").orderBy("timestampNanos", "uuid"))
+    own = own.join(wanted, ["window_id", "__slice"]).withColumn("__k", order + F.col("__before")).where(F.col("__k") <= max_edges)
     own = own.select(
         "window_id", F.col("subject_uuid").alias("src"), F.coalesce("object2_uuid", "object1_uuid").alias("dst"), "event_type",
         clipped_share(F.col("timestampNanos") - F.col("start_ns"), F.col("end_ns") - F.col("start_ns")).alias("pos"),

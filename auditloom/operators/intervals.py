@@ -49,14 +49,28 @@ def label(events: DataFrame, intervals: DataFrame, closed: bool = False, bin_ns:
     return joined.withColumn("malicious", F.col("__s").isNotNull().cast("int")).drop("__bin", "__b", "__s", "__e")
 
 
-def in_windows(events: DataFrame, windows: DataFrame, bin_ns: int = 3_600_000_000_000) -> DataFrame:
+def span(windows: DataFrame) -> tuple[int, int, int] | None:
+    """Least start, greatest end and mean width of a small table of windows: three numbers, or None where there are no windows."""
+    lo, hi, width = windows.agg(F.min("start_ns"), F.max("end_ns"), F.avg(F.col("end_ns") - F.col("start_ns"))).first()
+    return None if lo is None else (lo, hi, max(int(width), 1_000_000_000))
+
+
+def in_windows(events: DataFrame, windows: DataFrame, bin_ns: int | None = None) -> DataFrame:
     """A row for each event and closed window that holds it: the event's columns and window_id, start_ns, end_ns.
 
-    Windows may overlap. One pass over the events, whatever the number of windows.
+    Windows may overlap. One pass over the events, whatever the number of windows. Events outside the
+    windows' least and greatest time are filtered by literals, which a scan can push down; bins are as
+    wide as windows are on average, so that an event meets few windows that don't hold it.
     """
+    ts = F.col("timestampNanos")
+    bounds = span(windows)
+    if bounds is None:
+        events, bounds = events.where(F.lit(False)), (0, 0, 1)
+    lo, hi, width = bounds
+    bin_ns = bin_ns or width
     w = binned(windows.select("window_id", "start_ns", "end_ns"), bin_ns)
-    own = events.where(F.col("timestampNanos").isNotNull()).withColumn("__bin", _bin_of("timestampNanos", bin_ns))
-    return own.join(w, "__bin").where(F.col("timestampNanos").between(F.col("start_ns"), F.col("end_ns"))).drop("__bin")
+    own = events.where(ts.between(lo, hi)).withColumn("__bin", _bin_of("timestampNanos", bin_ns))
+    return own.join(w, "__bin").where(ts.between(F.col("start_ns"), F.col("end_ns"))).drop("__bin")
 
 
 def time_bounds(events: DataFrame) -> DataFrame:

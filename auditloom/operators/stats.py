@@ -118,5 +118,5 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 def split_assign(df: DataFrame, source: Column) -> DataFrame:
     """split train, val or test, 70/15/15 by a hash of the source, so that a source is never in two splits."""
-    place = F.pmod(F.crc32(source.cast("string")), F.lit(100))
+    place = F.conv(F.substring(F.md5(source.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(place < 70, "train").when(place < 85, "val").otherwise("test"))

@@ -5,10 +5,13 @@ The windows cover touching, nested, empty, one-nanosecond and reversed bounds.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditloom.operators import edges, graphs, intervals
-from auditloom.sources import tables, windows
+from auditloom.sources import storage, tables, windows
 
 _DAY0 = 1_704_067_200_000_000_000
 _HOUR = 3_600_000_000_000
@@ -24,7 +27,12 @@ ATTACKS = [
 ]
 #: Graphs are built for wider slots than the default, as the driver's events are sparse.
 GRAPH_SLOT_NS = 2 * _HOUR
-GRAPH_SLOTS = 60
+#: Slots that graphs are built for: all there are, as the driver's tables have no more than 337 of this width.
+GRAPH_SLOTS = 1000
+#: Slots of the query that samples them.
+SAMPLE_SLOTS = 60
+#: Events of a window that the homogeneous graphs keep.
+HOMOGENEOUS_EDGES = 100_000
 
 
 def attack_table(spark: SparkSession) -> DataFrame:
@@ -47,25 +55,56 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.window_tasks(closed_attacks(spark), intervals.even_sample(slots(spark, sf_dir, GRAPH_SLOT_NS), GRAPH_SLOTS))
 
 
+@dataclass
+class Windows:
+    """What all graph queries start from; each table is written once."""
+
+    tasks: DataFrame
+    codes: DataFrame
+    events: DataFrame
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> Windows:
+    """Two scans of the events: their types with least and greatest times, and the events that the windows hold."""
+    types = storage.written(tables.events(spark, sf_dir).groupBy("event_type").agg(F.min("timestampNanos").alias("lo"), F.max("timestampNanos").alias("hi")))
+    bounds = types.agg(F.min("lo").alias("min_ts"), F.max("hi").alias("max_ts"))
+    free = storage.written(intervals.free_slots(bounds, attack_table(spark), GRAPH_SLOT_NS))
+    own = storage.written(intervals.window_tasks(closed_attacks(spark), intervals.even_sample(free, GRAPH_SLOTS)))
+    between = intervals.span(own)
+    held = intervals.in_windows(tables.events(spark, sf_dir, between and between[:2]), own)
+    return Windows(own, edges.event_type_codes(types), held)
+
+
 def window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.in_windows(tables.events(spark, sf_dir), tasks(spark, sf_dir))
+    return windowed(spark, sf_dir).events
 
 
 def aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.aggregate(window_events(spark, sf_dir), edges.event_type_codes(tables.events(spark, sf_dir)))
+    w = windowed(spark, sf_dir)
+    return edges.aggregate(w.events, w.codes)
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.cap(edges.scored(aggregated(spark, sf_dir)))
+    return edges.cap(storage.written(edges.scored(aggregated(spark, sf_dir))))
 
 
 def node_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tables.subjects(spark, sf_dir), tables.fileobjects(spark, sf_dir), tables.netflows(spark, sf_dir)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes with degrees, edges, capped edges)."""
-    own = kept(spark, sf_dir)
-    nodes = graphs.graph_nodes(own, graphs.typed_nodes(*node_tables(spark, sf_dir)))
+@dataclass
+class Graph:
+    """All windows' graphs: nodes with degrees, typed edges, capped edges, and the windows."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    kept: DataFrame
+    tasks: DataFrame
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    w = windowed(spark, sf_dir)
+    own = storage.written(edges.cap(storage.written(edges.scored(edges.aggregate(w.events, w.codes)))))
+    nodes = storage.written(graphs.graph_nodes(own, graphs.typed_nodes(*node_tables(spark, sf_dir))))
     typed = graphs.graph_edges(own, nodes)
-    return graphs.node_degrees(nodes, typed), typed, own
+    return Graph(graphs.node_degrees(nodes, typed), typed, own, w.tasks)

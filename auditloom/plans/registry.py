@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import scalars
 from auditloom.operators import edges, graphs, homogeneous, intervals, multigraph, stats, tumbling
 from auditloom.plans import model, raw, sql
-from auditloom.sources import records, tables, windows
+from auditloom.sources import records, storage, tables, windows
 from auditloom.streaming import tumbling as stream
 
 _EDGE = ("window_id", "src", "dst", "event_type", "edge_type_id", "count", "first_ts", "last_ts", "size_sum", "size_max")
@@ -32,57 +32,77 @@ def _lookup(s, d):
 
 
 def _summary(s, d):
-    nodes, typed, kept = model.graph(s, d)
-    return graphs.build_summary(model.tasks(s, d), model.window_events(s, d), kept, nodes, typed)
+    g = model.graph(s, d)
+    return graphs.build_summary(g.tasks, intervals.in_windows(tables.events(s, d), g.tasks), g.kept, g.nodes, g.edges)
 
 
 def _stats(s, d):
-    nodes, typed, _ = model.graph(s, d)
-    return stats.graph_stats(model.tasks(s, d), nodes, typed)
+    g = model.graph(s, d)
+    return storage.written(stats.graph_stats(g.tasks, g.nodes, g.edges))
 
 
 def _rounded(df, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def _integrity(s, d):
+    g = model.graph(s, d)
+    return graphs.integrity(g.nodes, g.edges, g.tasks)
+
+
 def _edge_features(s, d):
-    x = graphs.edge_features(model.graph(s, d)[1])
+    x = graphs.edge_features(model.graph(s, d).edges)
     part = lambda k: F.round(F.col("edge_attr")[k].cast("double"), 4)
     names = ("type_id", "n", "span", "pos", "log_sum", "log_max")
     return x.select("window_id", "relation", "src_idx", "dst_idx", *[part(k).alias(n) for k, n in enumerate(names)])
 
 
 def _file_features(s, d):
-    x = graphs.file_features(model.graph(s, d)[0], tables.fileobjects(s, d))
+    x = graphs.file_features(model.graph(s, d).nodes, tables.fileobjects(s, d))
     return x.select("window_id", "node_idx", "uuid", *[F.col("x")[k].cast("double").alias(n) for k, n in enumerate(("code", "deg_in", "deg_out", "deg_total"))])
 
 
 def _subject_features(s, d):
-    return graphs.subject_features(model.graph(s, d)[0], tables.subjects(s, d), model.tasks(s, d))
+    g = model.graph(s, d)
+    return graphs.subject_features(g.nodes, tables.subjects(s, d), g.tasks)
+
+
+def _subject_columns(s, d):
+    """The 38 features: bins of the tokens as text, as most are 0."""
+    x = lambda k: F.col("x")[k].cast("double")
+    bins = F.array_join(F.transform(F.slice("x", 3, 32), lambda v: v.cast("int").cast("string")), " ")
+    names = {0: "has_parent", 34: "cid_mod", 35: "deg_in", 36: "deg_out", 37: "deg_total"}
+    return _subject_features(s, d).select("window_id", "node_idx", "uuid", *[x(k).alias(n) for k, n in names.items()], F.round(x(1), 4).alias("position"), bins.alias("bins"))
 
 
 def _netflow_features(s, d):
-    return graphs.netflow_features(model.graph(s, d)[0], tables.netflows(s, d))
+    return graphs.netflow_features(model.graph(s, d).nodes, tables.netflows(s, d))
+
+
+def _netflow_columns(s, d):
+    names = ("local_address", "local_port", "remote_address", "remote_port", "protocol", "deg_in", "deg_out", "deg_total")
+    return _netflow_features(s, d).select("window_id", "node_idx", "uuid", *[F.col("x")[k].cast("double").alias(n) for k, n in enumerate(names)])
 
 
 def _widths(s, d):
-    nodes, typed, _ = model.graph(s, d)
+    g = model.graph(s, d)
     parts = {
-        "subject": graphs.subject_features(nodes, tables.subjects(s, d), model.tasks(s, d)), "fileobject": graphs.file_features(nodes, tables.fileobjects(s, d)),
-        "netflow": graphs.netflow_features(nodes, tables.netflows(s, d)), "edge": graphs.edge_features(typed),
+        "subject": graphs.subject_features(g.nodes, tables.subjects(s, d), g.tasks), "fileobject": graphs.file_features(g.nodes, tables.fileobjects(s, d)),
+        "netflow": graphs.netflow_features(g.nodes, tables.netflows(s, d)), "edge": graphs.edge_features(g.edges),
     }
-    return stats.feature_widths(parts, graphs.WIDTHS, {"edge": "edge_attr"})
+    return stats.feature_widths(parts, graphs.WIDTHS, {"edge": "edge_attr"}).withColumn("widths", F.array_join("widths", " "))
 
 
 def _graph_profile(s, d):
-    nodes, typed, _ = model.graph(s, d)
-    return stats.table_profile({"graph_node": nodes, "graph_edge": typed.drop("score")})
+    g = model.graph(s, d)
+    return stats.table_profile({"graph_node": g.nodes, "graph_edge": g.edges.drop("score")})
 
 
 def _keys(s, d):
     """Attributes that the raw records of each type have."""
     parsed = records.records(raw.lines(s, d)).where("payload IS NOT NULL")
-    return stats.key_consistency(parsed.select(F.col("table").alias("file"), F.map_keys("payload").alias("keys")).distinct())
+    keys = parsed.select(F.col("table").alias("file"), F.map_keys("payload").alias("keys")).distinct()
+    return stats.key_consistency(keys).withColumn("examples", F.array_join("examples", " "))
 
 
 def _stream(s, d):
@@ -121,8 +141,21 @@ def _times(s, d):
 
 
 def _homogeneous(s, d):
-    marked = homogeneous.label_by_overlap(model.tasks(s, d), model.attack_table(s))
-    return homogeneous.edges(model.window_events(s, d), marked)
+    w = model.windowed(s, d)
+    return homogeneous.edges(w.events, homogeneous.label_by_overlap(w.tasks, model.attack_table(s)), max_edges=model.HOMOGENEOUS_EDGES)
+
+
+def _homogeneous_nodes(s, d):
+    return homogeneous.nodes(_homogeneous(s, d), graphs.typed_nodes(*model.node_tables(s, d)))
+
+
+def _columns(df, column, names):
+    return _rounded(df.select(*[c for c in df.columns if c != column], *[F.col(column)[k].cast("double").alias(n) for k, n in enumerate(names)]), 4)
+
+
+def _homogeneous_edge_features(s, d):
+    types = [r[0] for r in tables.events(s, d).select("event_type").distinct().orderBy("event_type").collect() if r[0] is not None]  # a vocabulary
+    return _columns(homogeneous.edge_features(_homogeneous(s, d), types), "edge_attr", [*[f"is_{t}" for t in types], "pos"])
 
 
 def queries() -> dict:
@@ -142,7 +175,7 @@ def queries() -> dict:
         "tumbling_counts_stream": _stream,
         "benign_windows": lambda s, d: tumbling.busiest_windows(model.labelled(s, d)),
         "benign_slots": lambda s, d: model.slots(s, d, intervals.SLOT_NS),
-        "benign_sample": lambda s, d: intervals.even_sample(model.slots(s, d, model.GRAPH_SLOT_NS), model.GRAPH_SLOTS),
+        "benign_sample": lambda s, d: intervals.even_sample(model.slots(s, d, model.GRAPH_SLOT_NS), model.SAMPLE_SLOTS),
         "window_tasks": model.tasks,
         "event_type_codes": lambda s, d: edges.event_type_codes(t.events(s, d)),
         "window_events": lambda s, d: model.window_events(s, d).select("window_id", "uuid", "timestampNanos"),
@@ -152,26 +185,26 @@ def queries() -> dict:
         "window_nodes": lambda s, d: graphs.window_nodes(model.kept(s, d)),
         "node_type_lookup": _lookup,
         "window_build_summary": _summary,
-        "graph_nodes": lambda s, d: model.graph(s, d)[0].select("window_id", "node_type", "uuid", "node_idx"),
-        "graph_edges": lambda s, d: model.graph(s, d)[1].select("window_id", "relation", "src", "dst", "event_type", "src_idx", "dst_idx"),
-        "node_degrees": lambda s, d: model.graph(s, d)[0],
-        "node_features_subject": _subject_features,
+        "graph_nodes": lambda s, d: model.graph(s, d).nodes.select("window_id", "node_type", "uuid", "node_idx"),
+        "graph_edges": lambda s, d: model.graph(s, d).edges.select("window_id", "relation", "src", "dst", "event_type", "src_idx", "dst_idx"),
+        "node_degrees": lambda s, d: model.graph(s, d).nodes,
+        "node_features_subject": _subject_columns,
         "node_features_file": _file_features,
-        "node_features_netflow": _netflow_features,
+        "node_features_netflow": _netflow_columns,
         "edge_features": _edge_features,
-        "file_type_codes": lambda s, d: graphs.file_type_codes(model.graph(s, d)[0], t.fileobjects(s, d)).select("window_id", "uuid", "file_type", "code"),
-        "graph_integrity": lambda s, d: graphs.integrity(*model.graph(s, d)[:2], model.tasks(s, d)),
+        "file_type_codes": lambda s, d: graphs.file_type_codes(model.graph(s, d).nodes, t.fileobjects(s, d)).select("window_id", "uuid", "file_type", "code"),
+        "graph_integrity": lambda s, d: _integrity(s, d),
         "graph_table_profile": _graph_profile,
         "graph_stats": _stats,
         "corpus_summary": lambda s, d: _rounded(stats.corpus_summary(_stats(s, d))),
-        "edge_type_freq": lambda s, d: stats.edge_type_freq(model.graph(s, d)[1]),
+        "edge_type_freq": lambda s, d: stats.edge_type_freq(model.graph(s, d).edges),
         "class_weights": lambda s, d: _rounded(stats.class_weights(_stats(s, d)), 9),
         "dataset_stats": lambda s, d: _rounded(stats.dataset_stats(_stats(s, d))),
         "array_stats": lambda s, d: _rounded(stats.array_stats(t.events(s, d), "size")),
-        "feature_spread": lambda s, d: stats.feature_spread(_netflow_features(s, d)),
+        "feature_spread": lambda s, d: _rounded(stats.feature_spread(_netflow_features(s, d)), 2),
         "histogram_nodes": lambda s, d: _rounded(stats.histogram(_stats(s, d), "total_nodes", 40)),
         "histogram_edges": lambda s, d: _rounded(stats.histogram(_stats(s, d), "total_edges", 40)),
-        "histogram_degree": lambda s, d: _rounded(stats.histogram(model.graph(s, d)[0], "deg_total", 50)),
+        "histogram_degree": lambda s, d: _rounded(stats.histogram(model.graph(s, d).nodes, "deg_total", 50)),
         "key_consistency": _keys,
         "feature_width_check": _widths,
         "multigraph_edges": _multigraph,
@@ -193,7 +226,9 @@ def queries() -> dict:
         "file_stems": lambda s, d: t.events(s, d).select(F.col("hostId").alias("host"), scalars.file_stem(F.concat(F.lit("run "), "hostId", F.lit(".json.12"))).alias("stem")).distinct(),
         "times_to_ns": _times,
         "homogeneous_edges": lambda s, d: _rounded(_homogeneous(s, d), 4),
-        "homogeneous_nodes": lambda s, d: _rounded(homogeneous.nodes(_homogeneous(s, d), graphs.typed_nodes(*model.node_tables(s, d)))),
+        "homogeneous_nodes": lambda s, d: _rounded(_homogeneous_nodes(s, d)),
+        "homogeneous_node_features": lambda s, d: _columns(homogeneous.node_features(_homogeneous_nodes(s, d)), "x", ("is_subject", "is_fileobject", "is_netflow", "in_share", "out_share", "total_share")),
+        "homogeneous_edge_features": _homogeneous_edge_features,
         "split_assign": lambda s, d: stats.split_assign(t.events(s, d).select("hostId").distinct(), F.col("hostId")),
     }
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from auditloom.plans.model import ATTACKS, GRAPH_SLOT_NS, GRAPH_SLOTS
+import hashlib
+
+from auditloom.plans.model import ATTACKS, GRAPH_SLOT_NS, GRAPH_SLOTS, HOMOGENEOUS_EDGES, SAMPLE_SLOTS
 
 _VALUES = ", ".join(f"('{i}', '{h}', CAST({s} AS BIGINT), CAST({e} AS BIGINT))" for i, h, s, e in ATTACKS)
 
@@ -21,6 +23,11 @@ def _slots(name: str, width: int) -> str:
     FROM (SELECT lo AS s FROM bd UNION ALL SELECT e + 1 FROM mc, bd WHERE e >= lo) g, bd) WHERE stop - s >= {width}))"""
 
 
+def _sampled(name: str, k: int) -> str:
+    return f"""{name} AS (SELECT s, e FROM numbered WHERE n <= {k} OR i IN (
+  SELECT CASE WHEN k = {k - 1} THEN n - 1 ELSE CAST(floor(k * (CAST(n - 1 AS DOUBLE) / {k - 1})) AS BIGINT) END FROM (SELECT max(n) AS n FROM numbered), range({k}) r(k)))"""
+
+
 CHAIN = f"""WITH ev AS (
   SELECT CAST(event_id AS VARCHAR) AS uuid, event_type, epoch_ns(ts) AS t,
     CASE WHEN user_id % 30 = 7 THEN 'f' || k WHEN user_id % 30 = 8 THEN 'n' || (k % 20) ELSE 's' || user_id END AS subject_uuid,
@@ -40,9 +47,8 @@ tc AS (SELECT hostId AS host, t - t % 600000000000 AS window_start_ns, count(*)
 {_slots('s3', 180_000_000_000)},
 {_slots('s2h', GRAPH_SLOT_NS)},
 numbered AS (SELECT s, e, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM s2h),
-wanted AS (SELECT DISTINCT CASE WHEN k = {GRAPH_SLOTS - 1} THEN n - 1 ELSE CAST(floor(k * (CAST(n - 1 AS DOUBLE) / {GRAPH_SLOTS - 1})) AS BIGINT) END AS i
-           FROM (SELECT max(n) AS n FROM numbered), range({GRAPH_SLOTS}) r(k)),
-sampled AS (SELECT s, e FROM numbered WHERE n <= {GRAPH_SLOTS} OR i IN (SELECT i FROM wanted)),
+{_sampled('sampled', GRAPH_SLOTS)},
+{_sampled('few', SAMPLE_SLOTS)},
 tk AS (SELECT window_id, s, e, 1 AS label FROM clos UNION ALL
        SELECT 'benign_' || lpad(CAST(row_number() OVER (ORDER BY s) - 1 AS VARCHAR), 6, '0'), s, e, 0 FROM sampled),
 we AS (SELECT ev.*, window_id, s, e FROM ev JOIN tk ON t BETWEEN s AND e),
@@ -64,18 +70,23 @@ gn AS (SELECT window_id, node_type, wn.uuid, row_number() OVER (PARTITION BY win
 ge AS (SELECT kp.*, a.node_type || '->' || b.node_type AS relation, a.node_type AS src_type, b.node_type AS dst_type, a.node_idx AS src_idx, b.node_idx AS dst_idx
        FROM kp JOIN gn a ON kp.window_id = a.window_id AND src = a.uuid JOIN gn b ON kp.window_id = b.window_id AND dst = b.uuid
        WHERE a.node_type || '->' || b.node_type IN ('subject->fileobject', 'subject->netflow', 'subject->subject', 'fileobject->subject', 'netflow->subject')),
-dg AS (SELECT gn.*, (SELECT count(*) FROM ge WHERE ge.window_id = gn.window_id AND dst_type = node_type AND dst_idx = node_idx) AS deg_in,
-              (SELECT count(*) FROM ge WHERE ge.window_id = gn.window_id AND src_type = node_type AND src_idx = node_idx) AS deg_out FROM gn),
+di AS (SELECT window_id, dst_type AS node_type, dst_idx AS node_idx, count(*) AS n FROM ge GROUP BY ALL),
+dq AS (SELECT window_id, src_type AS node_type, src_idx AS node_idx, count(*) AS n FROM ge GROUP BY ALL),
+dg AS (SELECT gn.*, coalesce(di.n, 0) AS deg_in, coalesce(dq.n, 0) AS deg_out FROM gn
+       LEFT JOIN di ON di.window_id = gn.window_id AND di.node_type = gn.node_type AND di.node_idx = gn.node_idx
+       LEFT JOIN dq ON dq.window_id = gn.window_id AND dq.node_type = gn.node_type AND dq.node_idx = gn.node_idx),
 fc AS (SELECT dg.*, file_type, dense_rank() OVER (PARTITION BY window_id ORDER BY file_type) AS code FROM dg JOIN fil ON dg.uuid = fil.uuid WHERE node_type = 'fileobject'),
-gs AS (SELECT tk.window_id, label AS graph_label, s AS start_ns, e AS end_ns,
-         count(*) AS total_nodes, (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id) AS total_edges,
-         count(*) FILTER (node_type = 'subject') AS n_subject, count(*) FILTER (node_type = 'fileobject') AS n_fileobject, count(*) FILTER (node_type = 'netflow') AS n_netflow,
-         (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id AND relation = 'subject->fileobject') AS E_subject_fileobject,
-         (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id AND relation = 'subject->netflow') AS E_subject_netflow,
-         (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id AND relation = 'subject->subject') AS E_subject_subject,
-         (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id AND relation = 'fileobject->subject') AS E_fileobject_subject,
-         (SELECT count(*) FROM ge WHERE ge.window_id = tk.window_id AND relation = 'netflow->subject') AS E_netflow_subject
-       FROM tk JOIN gn ON tk.window_id = gn.window_id GROUP BY tk.window_id, label, s, e),
+gq AS (SELECT window_id, count(*) AS total_edges, count(*) FILTER (relation = 'subject->fileobject') AS E_subject_fileobject, count(*) FILTER (relation = 'subject->netflow') AS E_subject_netflow, count(*) FILTER (relation = 'subject->subject') AS E_subject_subject, count(*) FILTER (relation = 'fileobject->subject') AS E_fileobject_subject, count(*) FILTER (relation = 'netflow->subject') AS E_netflow_subject FROM ge GROUP BY window_id),
+gw AS (SELECT window_id, count(*) AS total_nodes, count(*) FILTER (node_type = 'subject') AS n_subject, count(*) FILTER (node_type = 'fileobject') AS n_fileobject, count(*) FILTER (node_type = 'netflow') AS n_netflow FROM gn GROUP BY window_id),
+gs AS (SELECT tk.window_id, label AS graph_label, s AS start_ns, e AS end_ns, total_nodes, coalesce(total_edges, 0) AS total_edges, n_subject, n_fileobject, n_netflow,
+         coalesce(E_subject_fileobject, 0) AS E_subject_fileobject, coalesce(E_subject_netflow, 0) AS E_subject_netflow, coalesce(E_subject_subject, 0) AS E_subject_subject, coalesce(E_fileobject_subject, 0) AS E_fileobject_subject, coalesce(E_netflow_subject, 0) AS E_netflow_subject
+       FROM tk JOIN gw ON tk.window_id = gw.window_id LEFT JOIN gq ON tk.window_id = gq.window_id),
+he AS (SELECT we.*, subject_uuid AS src, coalesce(object2_uuid, object1_uuid) AS dst, least(greatest(CAST(t - s AS DOUBLE) / greatest(e - s, 1), 0.0), 1.0) AS pos
+       FROM we QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY t, uuid) <= {HOMOGENEOUS_EDGES}),
+hd AS (SELECT window_id, uuid, CAST(sum(i) AS BIGINT) AS deg_in, CAST(sum(o) AS BIGINT) AS deg_out
+       FROM (SELECT window_id, src AS uuid, 0 AS i, 1 AS o FROM he UNION ALL SELECT window_id, dst, 1, 0 FROM he) GROUP BY ALL),
+hn AS (SELECT window_id, hd.uuid, coalesce(node_type, 'unknown') AS node_type, deg_in / max(deg_in + deg_out) OVER w AS in_share, deg_out / max(deg_in + deg_out) OVER w AS out_share,
+         (deg_in + deg_out) / max(deg_in + deg_out) OVER w AS total_share FROM hd LEFT JOIN ty ON hd.uuid = ty.uuid WINDOW w AS (PARTITION BY window_id)),
 me AS (SELECT t - t % 600000000000 AS window_start_ns, subject_uuid AS src, dst, event_type, t AS "timestampNanos", size, malicious <> 0 AS malicious
        FROM (SELECT *, unnest([object1_uuid, object2_uuid]) AS dst FROM lh) WHERE dst IS NOT NULL),
 md AS (SELECT uuid, count(*) AS degree FROM (SELECT src AS uuid FROM me UNION ALL SELECT dst FROM me) GROUP BY uuid)
@@ -91,6 +102,48 @@ hc AS (SELECT CAST(least(floor((CAST({column} AS DOUBLE) - lo) * {bins} / CAST(h
 SELECT CAST(b AS INTEGER) AS bin, round(CAST(lo AS DOUBLE) + b * (CAST(hi - lo AS DOUBLE) / {bins}), 6) AS lo, coalesce(n, 0) AS n FROM hb, range({bins}) r(b) LEFT JOIN hc ON bin = b"""
 
 
+def _profile(name: str, table: str, columns: dict) -> str:
+    kinds = {c: (k if isinstance(k, tuple) else (k, f'"{c}"')) for c, k in columns.items()}
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count(*) - count({expr}) AS n_null FROM {table}" for c, (kind, expr) in kinds.items()
+    )
+
+
+def _blake(text: str, size: int, person: bytes) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=size, person=person).digest()
+
+
+#: The driver's event types, in order.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+#: SQL has no such hash, so that the bins of the tokens that the driver's tables can have come as values.
+_TOKEN_BINS = ", ".join(f"('{t}', {_blake(t, 8, b'cmd')[-1] % 32})" for t in ("usr", "bin", "id", *[f"tool{k}" for k in range(13)], *map(str, range(10, 2000))))
+_TOKENS = f", tokens(token, bin) AS (VALUES {_TOKEN_BINS}), cmd AS (SELECT uuid, cid FROM sub WHERE cid % 11 <> 0)"
+
+
+def _address(text: str) -> int:
+    parts = text.split(".")
+    if len(parts) == 4 and all(p.isdigit() for p in parts):
+        return int.from_bytes(bytes(map(int, parts)), "big")
+    return int.from_bytes(_blake(text, 4, b"ip"), "big")
+
+
+_FLOW_CODES = ", ".join(
+    f"({i}, {_address(f'10.0.0.{i}')}, {_address(f'host{i}.example' if i % 5 == 4 else '' if i % 5 == 3 else f'192.168.1.{i}')})" for i in range(20)
+)
+_FLOWS = f""", fl(i, here, there) AS (VALUES {_FLOW_CODES}),
+nf AS (SELECT window_id, node_idx, dg.uuid, CAST(CAST(here AS FLOAT) AS DOUBLE) AS local_address, CAST(1024 + fl.i AS DOUBLE) AS local_port, CAST(CAST(there AS FLOAT) AS DOUBLE) AS remote_address,
+         CASE WHEN fl.i % 4 <> 0 THEN 443.0 ELSE 0.0 END AS remote_port, CAST(6 AS DOUBLE) AS protocol, CAST(deg_in AS DOUBLE) AS deg_in, CAST(deg_out AS DOUBLE) AS deg_out, CAST(deg_in + deg_out AS DOUBLE) AS deg_total
+       FROM dg JOIN net ON dg.uuid = net.uuid JOIN fl ON net.i = fl.i WHERE node_type = 'netflow')"""
+#: Attributes of the raw records by table.
+_RECORD_KEYS = {
+    "events": "uuid type timestampNanos subject predicateObject predicateObject2 size", "subjects": "uuid type cid parentSubject localPrincipal startTimestampNanos cmdLine",
+    "fileobjects": "uuid type size", "netflows": "uuid localAddress localPort remoteAddress remotePort ipProtocol", "registrykeys": "uuid key", "ipc": "uuid type fd1 fd2",
+    "memory": "uuid memoryAddress size",
+}
+_KEYS = ", k(file, key) AS (VALUES " + ", ".join(f"('{t}', '{k}')" for t, own in _RECORD_KEYS.items() for k in own.split()) + """),
+gap AS (SELECT f.file, a.key, row_number() OVER (PARTITION BY a.key ORDER BY f.file) AS r FROM (SELECT DISTINCT file FROM k) f, (SELECT DISTINCT key FROM k) a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.file = f.file AND k.key = a.key))
+SELECT a.key, count(gap.file) AS n_missing, coalesce(string_agg(CASE WHEN r <= 3 THEN gap.file END, ' ' ORDER BY gap.file), '') AS examples FROM (SELECT DISTINCT key FROM k) a LEFT JOIN gap ON a.key = gap.key GROUP BY a.key"""
+
 
 QUERIES = {
     "label_half_open": _LABEL_COUNTS.format("lh"),
@@ -107,7 +160,7 @@ QUERIES = {
     "tumbling_counts_stream": "SELECT * FROM tc",
     "benign_windows": "SELECT host, window_start_ns FROM (SELECT hostId AS host, t - t % 600000000000 AS window_start_ns, count(*) AS n FROM lh WHERE malicious = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY host, window_start_ns - window_start_ns % 3600000000000 ORDER BY n DESC, window_start_ns) <= 1",
     "benign_slots": "SELECT s AS start_ns, e AS end_ns FROM s3",
-    "benign_sample": "SELECT s AS start_ns, e AS end_ns FROM sampled",
+    "benign_sample": "SELECT s AS start_ns, e AS end_ns FROM few",
     "window_tasks": "SELECT window_id, s AS start_ns, e AS end_ns, label FROM tk",
     "event_type_codes": "SELECT * FROM codes",
     "window_events": "SELECT window_id, uuid, t AS \"timestampNanos\" FROM we",
@@ -127,7 +180,7 @@ QUERIES = {
         ("log_sum", "ln(1 + CAST(size_sum AS DOUBLE))"), ("log_max", "ln(1 + CAST(size_max AS DOUBLE))"),
     )) + " FROM ge",
     "node_features_file": "SELECT window_id, node_idx, uuid, CAST(code AS DOUBLE) AS code, CAST(deg_in AS DOUBLE) AS deg_in, CAST(deg_out AS DOUBLE) AS deg_out, CAST(deg_in + deg_out AS DOUBLE) AS deg_total FROM fc",
-    "graph_integrity": "SELECT tk.window_id, CAST(0 AS BIGINT) AS n_out_of_range, NOT EXISTS (SELECT 1 FROM gn WHERE gn.window_id = tk.window_id) AS empty_nodes, NOT EXISTS (SELECT 1 FROM ge WHERE ge.window_id = tk.window_id) AS empty_edges FROM tk",
+    "graph_integrity": ", sz AS (SELECT window_id, node_type, count(*) AS n FROM gn GROUP BY ALL), en AS (SELECT window_id, src_type AS node_type, src_idx AS i FROM ge UNION ALL SELECT window_id, dst_type, dst_idx FROM ge), ob AS (SELECT en.window_id, count(*) AS n FROM en LEFT JOIN sz ON en.window_id = sz.window_id AND en.node_type = sz.node_type WHERE i >= coalesce(sz.n, 0) GROUP BY en.window_id) SELECT tk.window_id, coalesce((SELECT n FROM ob WHERE ob.window_id = tk.window_id), 0) AS n_out_of_range, NOT EXISTS (SELECT 1 FROM gn WHERE gn.window_id = tk.window_id) AS empty_nodes, NOT EXISTS (SELECT 1 FROM ge WHERE ge.window_id = tk.window_id) AS empty_edges FROM tk",
     "graph_stats": "SELECT * FROM gs",
     "corpus_summary": "SELECT count(*) AS num_graphs, count(*) FILTER (graph_label = 1) AS num_malicious, count(*) FILTER (graph_label = 0) AS num_benign, CAST(sum(total_nodes) AS BIGINT) AS total_nodes_sum, CAST(sum(total_edges) AS BIGINT) AS total_edges_sum, round(avg(total_nodes), 6) AS avg_nodes_per_graph, round(avg(total_edges), 6) AS avg_edges_per_graph, round(avg(CAST(total_edges AS DOUBLE) / nullif(total_nodes, 0)), 6) AS avg_degree_overall, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{c}" for c in ("n_subject", "n_fileobject", "n_netflow", "E_subject_fileobject", "E_subject_netflow", "E_subject_subject", "E_fileobject_subject", "E_netflow_subject")) + " FROM gs",
     "edge_type_freq": "SELECT edge_type_id, count(*) AS n FROM ge GROUP BY edge_type_id ORDER BY n DESC, edge_type_id LIMIT 30",
@@ -154,9 +207,32 @@ QUERIES = {
     "ingest_counts": "SELECT file, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(m) AS BIGINT) AS n_malicious FROM (SELECT hostId || '.json' AS file, 1 AS n, malicious AS m FROM lh) GROUP BY ROLLUP (file)",
     "file_stems": "SELECT DISTINCT hostId AS host, 'run_' || hostId AS stem FROM ev",
     "times_to_ns": "SELECT uuid, t AS from_number, t - t % 1000 AS from_iso FROM ev",
-    "split_assign": None,
-    "homogeneous_edges": "SELECT window_id, src, dst, event_type, round(CAST(t - s AS DOUBLE) / greatest(e - s, 1), 4) AS pos, label FROM (SELECT we.*, subject_uuid AS src, coalesce(object2_uuid, object1_uuid) AS dst FROM we) x JOIN (SELECT w.window_id, CAST(EXISTS (SELECT 1 FROM mc WHERE w.s <= mc.e AND mc.s <= w.e) AS INTEGER) AS label FROM tk w) l USING (window_id)",
-    "homogeneous_nodes": ", ends AS (SELECT window_id, subject_uuid AS uuid, 0 AS i, 1 AS o FROM we UNION ALL SELECT window_id, coalesce(object2_uuid, object1_uuid), 1, 0 FROM we), d AS (SELECT window_id, uuid, CAST(sum(i) AS BIGINT) AS deg_in, CAST(sum(o) AS BIGINT) AS deg_out FROM ends GROUP BY ALL) SELECT window_id, uuid, coalesce((SELECT any_value(node_type) FROM ty WHERE ty.uuid = d.uuid), 'unknown') AS node_type, round(deg_in / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS in_share, round(deg_out / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS out_share, round((deg_in + deg_out) / max(deg_in + deg_out) OVER (PARTITION BY window_id), 6) AS total_share FROM d",
+    "homogeneous_edges": "SELECT he.window_id, src, dst, event_type, round(pos, 4) AS pos, label FROM he JOIN (SELECT w.window_id, CAST(EXISTS (SELECT 1 FROM mc WHERE w.s <= mc.e AND mc.s <= w.e) AS INTEGER) AS label FROM tk w) l ON he.window_id = l.window_id",
+    "homogeneous_nodes": "SELECT window_id, uuid, node_type, round(in_share, 6) AS in_share, round(out_share, 6) AS out_share, round(total_share, 6) AS total_share FROM hn",
+    "homogeneous_node_features": "SELECT window_id, uuid, " + ", ".join(f"CAST(node_type = '{t}' AS DOUBLE) AS is_{t}" for t in ("subject", "fileobject", "netflow"))
+    + ", " + ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS {c}" for c in ("in_share", "out_share", "total_share")) + " FROM hn",
+    "homogeneous_edge_features": "SELECT window_id, src, dst, " + ", ".join(f"CAST(coalesce(event_type = '{t}', false) AS DOUBLE) AS is_{t}" for t in EVENT_TYPES)
+    + ", round(CAST(CAST(pos AS FLOAT) AS DOUBLE), 4) AS pos FROM he",
+    "split_assign": "SELECT hostId AS \"hostId\", CASE WHEN p < 70 THEN 'train' WHEN p < 85 THEN 'val' ELSE 'test' END AS split FROM (SELECT hostId, CAST('0x' || substr(md5(hostId), 1, 8) AS BIGINT) % 100 AS p FROM (SELECT DISTINCT hostId FROM ev))",
+    "node_features_subject": _TOKENS + """, started AS (SELECT uuid, cid, parent, started FROM sub),
+words AS (SELECT uuid, 'usr' AS token FROM cmd UNION ALL SELECT uuid, 'bin' FROM cmd UNION ALL SELECT uuid, 'id' FROM cmd UNION ALL SELECT uuid, 'tool' || (cid % 13) FROM cmd UNION ALL SELECT uuid, CAST(cid AS VARCHAR) FROM cmd),
+bins AS (SELECT uuid, bin, count(*) AS n FROM words JOIN tokens ON words.token = tokens.token GROUP BY uuid, bin),
+every AS (SELECT x.uuid, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY b) AS bins FROM (SELECT uuid, b FROM sub, range(32) r(b)) x LEFT JOIN bins ON x.uuid = bins.uuid AND b = bin GROUP BY x.uuid)
+SELECT dg.window_id, node_idx, dg.uuid, CAST(parent IS NOT NULL AS DOUBLE) AS has_parent, CAST(cid % 8 AS DOUBLE) AS cid_mod, CAST(deg_in AS DOUBLE) AS deg_in, CAST(deg_out AS DOUBLE) AS deg_out,
+  CAST(deg_in + deg_out AS DOUBLE) AS deg_total, round(CAST(CAST(CASE WHEN started BETWEEN s AND e THEN CAST(started - s AS DOUBLE) / greatest(e - s, 1) ELSE 0.0 END AS FLOAT) AS DOUBLE), 4) AS position, bins
+FROM dg JOIN started ON dg.uuid = started.uuid JOIN every ON dg.uuid = every.uuid JOIN tk ON dg.window_id = tk.window_id WHERE node_type = 'subject'""",
+    "node_features_netflow": _FLOWS + " SELECT * FROM nf",
+    "feature_spread": _FLOWS + """, xs AS (SELECT window_id, unnest([local_address, local_port, remote_address, remote_port, protocol, deg_in, deg_out, deg_total]) AS v FROM nf),
+xg AS (SELECT window_id, min(v) AS lo, max(v) AS hi, avg(v) AS m, stddev_samp(v) AS sd FROM xs GROUP BY window_id)
+SELECT CAST(min(lo) AS FLOAT) AS min, CAST(max(hi) AS FLOAT) AS max, round(avg(m), 2) AS mean_of_means, round(avg(sd), 2) AS mean_of_stds FROM xg""",
+    "feature_width_check": ", w(feature_set, width, n) AS (SELECT 'subject', 2 + 32 + 1 + 3, (SELECT count(*) FROM gn WHERE node_type = 'subject') UNION ALL SELECT 'fileobject', 1 + 3, (SELECT count(*) FROM gn WHERE node_type = 'fileobject') UNION ALL SELECT 'netflow', 5 + 3, (SELECT count(*) FROM gn WHERE node_type = 'netflow') UNION ALL SELECT 'edge', 2 + 4, (SELECT count(*) FROM ge)) SELECT feature_set, CASE WHEN n > 0 THEN CAST(width AS VARCHAR) ELSE '' END AS widths, true AS consistent, n > 0 AS as_expected FROM w",
+    "table_profile": _profile("events", "ev", {"uuid": "string", "event_type": "string", "timestampNanos": ("bigint", "t"), "subject_uuid": "string", "object1_uuid": "string", "object2_uuid": "string", "size": "bigint", "hostId": "string"})
+    + " UNION ALL " + _profile("subjects", "sub", {"uuid": "string", "subject_type": ("string", "uuid"), "cid": "bigint", "parentSubject": ("string", "parent"), "localPrincipal": ("string", "uuid"), "startTimestampNanos": ("bigint", "started"), "cmdLine": ("string", "CASE WHEN cid % 11 <> 0 THEN uuid END")}),
+    "graph_table_profile": _profile("graph_node", "dg", {"window_id": "string", "node_type": "string", "node_idx": "bigint", "uuid": "string", "deg_in": "bigint", "deg_out": "bigint", "deg_total": ("bigint", "deg_in + deg_out")})
+    + " UNION ALL " + _profile("graph_edge", "ge", {
+        "window_id": "string", "dst": "string", "src": "string", "event_type": "string", "start_ns": ("bigint", "s"), "end_ns": ("bigint", "e"), "count": ("bigint", "cnt"), "first_ts": "bigint", "last_ts": "bigint", "size_sum": "bigint",
+        "size_max": "bigint", "edge_type_id": "bigint", "src_type": "string", "src_idx": "bigint", "dst_type": "string", "dst_idx": "bigint", "relation": "string"}),
+    "key_consistency": _KEYS,
 }
 
 

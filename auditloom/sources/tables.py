@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,21 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, windows: DataFrame, path: s
 #: The driver's tables have no host records: its `events` table stands for them, with ids made of its
 # keys. Every kind of edge and node occurs.
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the model from the driver's table; ids start with s, f or n by the kind of node."""
+def events(spark: SparkSession, sf_dir: str, between: tuple[int, int] | None = None) -> DataFrame:
+    """Events of the model from the driver's table; ids start with s, f or n by the kind of node.
+
+    between: least and greatest time in nanoseconds; as a filter on the stored column the scan skips by it.
+    """
     k = F.get_json_object("props", "$.k").try_cast("int")
     user = F.col("user_id")
     file_id, flow_id = F.concat(F.lit("f"), k.cast("string")), F.concat(F.lit("n"), F.pmod(k, F.lit(20)).cast("string"))
     me = F.concat(F.lit("s"), user.cast("string"))
     backward = F.pmod(user, F.lit(30))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if between is not None:
+        edges = [F.lit(datetime.fromtimestamp(0, timezone.utc).replace(tzinfo=None) + timedelta(microseconds=x)) for x in (between[0] // 1000, -(-between[1] // 1000))]
+        raw = raw.where(F.col("ts").between(*[e.cast(raw.schema["ts"].dataType) for e in edges]))
+    return raw.select(
         F.col("event_id").cast("string").alias("uuid"), "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestampNanos"),
         F.when(backward == 7, file_id).when(backward == 8, flow_id).otherwise(me).alias("subject_uuid"),
         F.when(F.pmod(k, F.lit(4)) == 0, flow_id).otherwise(file_id).alias("object1_uuid"),

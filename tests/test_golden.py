@@ -162,6 +162,36 @@ def test_homogeneous(spark):
     assert x == {"s": [1, 0, 0, 0, 1, 1], "a": [0, 1, 0, 0.5, 0, 0.5], "b": [0, 0, 0, 0.5, 0, 0.5]}
 
 
+def test_homogeneous_cap_across_slices(spark):
+    rnd = random.Random(9)
+    ev = spark.createDataFrame([(f"e{k:03}", "A", rnd.randrange(1000), "s", "a", None, 1, "h", 0) for k in range(300)], EVENTS)
+    win = spark.createDataFrame([("w", 0, 1000), ("v", 100, 130), ("z", 7, 7)], "window_id string, start_ns bigint, end_ns bigint").withColumn("label", F.lit(0))
+    held = intervals.in_windows(ev, win)
+    for cap, slices in ((10, 4), (37, 256), (1000, 8)):
+        got, want = {}, {}
+        for r in homogeneous.edges(held, win, max_edges=cap, slices=slices).collect():
+            got.setdefault(r["window_id"], []).append(r["pos"])
+        for r in sorted(held.collect(), key=lambda r: (r["window_id"], r["timestampNanos"], r["uuid"])):
+            own = want.setdefault(r["window_id"], [])
+            if len(own) < cap:
+                own.append((r["timestampNanos"] - r["start_ns"]) / max(r["end_ns"] - r["start_ns"], 1))
+        assert {w: sorted(x) for w, x in got.items()} == {w: sorted(x) for w, x in want.items()}
+
+
+def test_places_in_order(spark):
+    rnd = random.Random(1)
+    names = sorted({"".join(rnd.choice("ab0é") for _ in range(rnd.randint(0, 9))) for _ in range(200)}, key=lambda x: x.encode())
+    df = spark.createDataFrame([(g, x) for g in "pq" for x in names], "g string, uuid string")
+    for letters in (1, 3):
+        got = {(r["g"], r["uuid"]): r["place"] for r in graphs.in_order(df, ["g"], "uuid", letters).collect()}
+        assert got == {(g, x): k for g in "pq" for k, x in enumerate(names)}
+
+
+def test_one_row_whichever_order(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", None, "z"), (None, 1, "y")], "uuid string, n int, t string")
+    assert [tuple(r) for r in graphs.one_row(df).collect()] == [tuple(r) for r in graphs.one_row(df.orderBy(F.desc("n"))).collect()] == [("a", 2, "x")]
+
+
 def test_flags_and_iso(spark):
     df = spark.createDataFrame([(x,) for x in ("0", "1", "true", "false", "x", None)], "v string")
     assert [r[0] for r in df.select(scalars.as_flag(F.col("v"))).collect()] == [0, 1, 1, 0, 1, 1]
