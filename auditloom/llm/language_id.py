@@ -6,15 +6,16 @@ training lexicon, the word itself; learned transitions tie neighbouring words, s
 language inside a text costs but is possible. Forward-backward gives each word's probability of each
 language, and the text's score of a language is the mean over its words that have a letter.
 
-Training takes lines of documents that have a language and are not held out: for each language at
-most `TRAIN_DOCS` documents, and of these at most `TRAIN_LINES` lines, both chosen by hash and so
-the same in each run. This bounded sample is fitted on the driver; everything else covers all rows.
-The languages learned are the `MAX_LANGS` most frequent ones.
+Training takes lines of documents that have a language and are not held out: for each language, and
+every language there is, at most `TRAIN_DOCS` documents, and of these at most `TRAIN_LINES` lines,
+both chosen by hash and so the same in each run. This bounded sample is fitted on the driver;
+everything else covers all rows. Beside the lines themselves, `MIXED` times as many chains are made of
+the first and last halves of two lines of different languages, so that transitions learn switches.
 
 Defined results: a null text and one without a letter give `und` and score 0; words without a letter
 take part in no score; ties go to the language that sorts first; with nothing to learn from, every
-text is `und`; a null doc_id is not held out; repeated rows give repeated results; an empty table
-gives no rows.
+text is `und`; a null doc_id is not held out; repeated rows give repeated results; whole texts of any
+length are read; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import bounded_batches
@@ -33,7 +34,8 @@ from auditloom.llm.common import bounded_batches
 HELD_OUT_OF, HELD_OUT = 3, 1
 TRAIN_DOCS = 300
 TRAIN_LINES = 600
-MAX_LANGS = 64
+#: Chains of two languages for each sampled line.
+MIXED = 0.25
 LEXICON_USES = 3
 #: Words a worker remembers, and words whose chains are worked out at a time.
 CACHE_WORDS = 1_000_000
@@ -50,11 +52,12 @@ def letters_of(word: str) -> str:
 
 
 def features_of(s: str) -> list[str]:
+    """Names of the word's features; the first character tells prefixes, suffixes, n-grams and the word itself apart."""
     b = f"^{s}$"
     n = len(b)
     return [
         *[f"p{s[:k]}" for k in (1, 2, 3)], *[f"s{s[-k:]}" for k in (1, 2, 3, 4)],
-        *[b[i : i + 2] for i in range(n - 1)], *[b[i : i + 3] for i in range(n - 2)], f"w{s}",
+        *[f"2{b[i : i + 2]}" for i in range(n - 1)], *[f"3{b[i : i + 3]}" for i in range(n - 2)], f"w{s}",
     ]
 
 
@@ -103,7 +106,7 @@ class Chain:
         return total
 
 
-def fit(lines: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-3, seed: int = 7) -> dict:
+def fit(lines: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-3, seed: int = 7, mixed: float = MIXED) -> dict:
     """Learn from (text of a line, language). Full-batch gradient steps with per-weight scaling (Adam)."""
     langs = sorted({lang for _, lang in lines})
     code = {lang: k for k, lang in enumerate(langs)}
@@ -113,11 +116,17 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, deca
         words = [s for w in _word.findall(text) if (s := letters_of(w))]
         if words:
             chains_.append(np.array([vocabulary.setdefault(s, len(vocabulary)) for s in words]))
-            gold.append(code[lang])
+            gold.append(np.full(len(words), code[lang]))
             uses.update(words)
+    if len(langs) > 1:
+        drawn = np.random.default_rng(seed).integers(0, len(chains_), size=(int(mixed * len(chains_)), 2))
+        for i, j in drawn[[gold[i][0] != gold[j][0] for i, j in drawn]]:
+            first_half, last_half = slice(None, (len(chains_[i]) + 1) // 2), slice(len(chains_[j]) // 2, None)
+            chains_.append(np.concatenate([chains_[i][first_half], chains_[j][last_half]]))
+            gold.append(np.concatenate([gold[i][first_half], gold[j][last_half]]))
     types = list(vocabulary)
     seen = Counter(f for s in types for f in features_of(s))
-    keep = {f: k for k, f in enumerate(f for f, n in seen.items() if (uses[f[1:]] >= LEXICON_USES if f[0] == "w" and f[1:] in uses else n >= 2))}
+    keep = {f: k for k, f in enumerate(f for f, n in seen.items() if (uses[f[1:]] >= LEXICON_USES if f[0] == "w" else n >= 2))}
     flat, owner = [], []
     for k, s in enumerate(types):
         own = [keep[f] for f in features_of(s) if f in keep]
@@ -127,26 +136,27 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, deca
     n_langs, n_types = len(langs), len(types)
     params = {"w": np.zeros((len(keep), n_langs)), "t": np.zeros((n_langs, n_langs)), "s": np.zeros(n_langs)}
     first, second = {k: np.zeros_like(v) for k, v in params.items()}, {k: np.zeros_like(v) for k, v in params.items()}
-    gold, n_words = np.array(gold, dtype=np.int64), sum(map(len, chains_))
+    n_words = sum(map(len, chains_))
     lengths = np.array([len(c) for c in chains_], dtype=np.int64)
     for step in range(1, (rounds if n_langs > 1 else 0) + 1):
         by_type = np.stack([np.bincount(owner, weights=params["w"][flat, k], minlength=n_types) for k in range(n_langs)], axis=1)
         grad_type, grad = np.zeros((n_types, n_langs)), {k: np.zeros_like(v) for k, v in params.items()}
         for block in chains(lengths):
             t_max = lengths[block[0]]
-            ids = np.zeros((len(block), t_max), dtype=np.int64)
+            ids, true = np.zeros((len(block), t_max), dtype=np.int64), np.zeros((len(block), t_max), dtype=np.int64)
             for r, c in enumerate(block):
-                ids[r, : lengths[c]] = chains_[c]
+                ids[r, : lengths[c]], true[r, : lengths[c]] = chains_[c], gold[c]
             own = lengths[block]
             chain = Chain(by_type[ids], own, params["s"], params["t"])
             error = -chain.post
-            error[np.arange(len(block)), :, gold[block]] += 1
+            error[np.arange(len(block))[:, None], np.arange(t_max)[None, :], true] += 1
             error[np.arange(t_max)[None, :] >= own[:, None]] = 0
             for k in range(n_langs):
                 grad_type[:, k] += np.bincount(ids.ravel(), weights=error[:, :, k].ravel(), minlength=n_types)
             grad["s"] += error[:, 0].sum(axis=0)
             grad["t"] -= chain.pairs()
-            grad["t"][np.arange(n_langs), np.arange(n_langs)] += np.bincount(gold[block], weights=own - 1.0, minlength=n_langs)
+            inside = np.arange(1, t_max)[None, :] < own[:, None]
+            np.add.at(grad["t"], (true[:, :-1][inside], true[:, 1:][inside]), 1.0)
         for k in range(n_langs):
             grad["w"][:, k] = np.bincount(flat, weights=grad_type[owner, k], minlength=len(keep))
         for k, v in params.items():
@@ -258,19 +268,35 @@ def _text_scores(model: dict, words: Words, texts: list[str | None]) -> np.ndarr
     return total
 
 
+def _chosen(rows: DataFrame, sizes: dict[str, int], most: int, *key: str) -> list:
+    """The `most` rows of each language with the least hash of the key. sizes: rows by language.
+
+    Each task hands on what lies below a bound of the hash that twice as many rows are expected under;
+    these come to the driver, which cuts them to the number.
+    """
+    at = F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") / float(1 << 53)
+    bounds = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2.0 * most + 50) / n))])
+    found = rows.withColumn("__at", at).where(F.col("__at") <= bounds[F.col("lang")]).collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["__at"], *[r[k] for k in key])):
+        by_lang.setdefault(r["lang"], []).append(r)
+    return [r for own in by_lang.values() for r in own[:most]]
+
+
 def training_lines(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> list[tuple[str, str]]:
     """The bounded sample: (line, language)."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
     usable = docs.where(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    usable = usable.where(F.col("lang").isin(langs))
-    chosen = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = usable.select("doc_id", "lang").withColumn("__k", chosen).where(F.col("__k") <= train_docs).select(F.col("doc_id").alias("__id")).distinct()
-    lines = usable.join(F.broadcast(few), F.col("doc_id") == F.col("__id"), "left_semi")  # at most TRAIN_DOCS * MAX_LANGS ids
-    lines = lines.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos"))
-    rows = lines.where(F.col("line") != "").withColumn("__k", order).where(F.col("__k") <= train_lines).select("line", "lang").collect()
-    return sorted((r["line"], r["lang"]) for r in rows)
+    sizes = lambda rows: {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # noqa: E731 - a row for each language
+    there = sizes(usable)
+    if not there:
+        return []
+    few = sorted({r["doc_id"] for r in _chosen(usable.select("doc_id", "lang"), there, train_docs, "doc_id")})  # at most train_docs for each language
+    few = docs.sparkSession.createDataFrame([(x,) for x in few], "__id long")
+    lines = usable.join(F.broadcast(few), F.col("doc_id") == F.col("__id"), "left_semi")
+    lines = lines.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).where(F.col("line") != "")
+    there = sizes(lines)
+    return sorted((r["line"], r["lang"]) for r in _chosen(lines, there, train_lines, "doc_id", "pos")) if there else []
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
