@@ -12,11 +12,16 @@ each host it links to, and links within a host are no edges. Mass of hosts witho
 distrust: incoming) edges returns to the seeds.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule, and is
-allowed; null html has no links; repeated rows each count; an empty table gives no rows.
+allowed; null html has no links, html of any length is read whole; repeated rows each count; a host
+with as many allowed as blocked pages is no seed; equal trust and distrust allow; rules that tie in
+length go to the one that sorts last in the list; more than `MAX_RULES` rules are refused; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +36,6 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ITERATIONS = 30
 TOLERANCE = 1e-9
 MAX_DISTRUST = 0.5
 #: Rules become one expression in the plan; a list beyond this is refused.
@@ -80,59 +84,54 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank. seeds: host, seed (mass, all together 1). edges: src, dst, weight. Returns host, rank.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank of several kinds at once, until none changes by `tolerance` or more.
 
-    One checkpointed step at a time; per step two numbers reach the driver (mass without edges, change).
+    seeds: kind, host, seed (masses of a kind are 1 together). edges: kind, src, dst, weight. Returns
+    kind, host, rank. A step is one checkpointed table and one small aggregate, of which two numbers
+    for each kind reach the driver: the mass on hosts without outgoing edges, and the change. As steps
+    change by at most `damping` times as much as the last one, the number of steps is bounded.
     """
-    shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src")
-    shares = materialize(shares.select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    sources = shares.select(F.col("src").alias("host")).distinct()
-    seeds = materialize(seeds.select("host", "seed"))
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(iterations):
-        moved = ranks.join(shares, ranks["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        kept = ranks.join(sources, "host", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
-        loose = max(0.0, (ranks.agg(F.sum("rank")).first()[0] or 0.0) - kept)
-        step = moved.join(seeds, "host", "full_outer").select(
-            "host", (damping * F.coalesce("in", F.lit(0.0)) + ((1 - damping) + damping * loose) * F.coalesce("seed", F.lit(0.0))).alias("rank")
-        )
-        step = materialize(step)
-        change = step.join(ranks.withColumnRenamed("rank", "was"), "host", "full_outer").agg(
-            F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
-        ).first()[0]
-        ranks = step
-        if (change or 0.0) < tolerance:
-            break
-    return ranks
+    totals = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    shares = materialize(edges.join(totals, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")))
+    ends = shares.select("kind", "host").distinct().withColumn("out", F.lit(True))
+    seeds = materialize(seeds.select("kind", "host", "seed"))
+    ranks = materialize(seeds.join(ends, ["kind", "host"], "left").select("kind", "host", F.col("seed").alias("rank"), F.coalesce("out", F.lit(False)).alias("out")))
+    measure = [F.sum(F.when(~F.col("out"), F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change")]
+    numbers = {r["kind"]: r for r in ranks.withColumn("was", F.lit(0.0)).groupBy("kind").agg(*measure).collect()}  # a row for each kind
+    if not numbers:
+        return ranks.select("kind", "host", "rank")
+    for _ in range(2 + math.ceil(math.log(tolerance / 2) / math.log(damping))):
+        loose = F.create_map(*[F.lit(x) for kind, r in numbers.items() for x in (kind, r["loose"])])
+        parts = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"), F.lit(0.0).alias("was"))
+        own = seeds.select("kind", "host", (((1 - damping) + damping * loose[F.col("kind")]) * F.col("seed")).alias("rank"), F.lit(0.0).alias("was"))
+        before = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        step = parts.unionByName(own).unionByName(before).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+        ranks = materialize(step.join(ends, ["kind", "host"], "left").withColumn("out", F.coalesce("out", F.lit(False))))
+        numbers = {r["kind"]: r for r in ranks.groupBy("kind").agg(*measure).collect()}
+        if all(r["change"] < tolerance for r in numbers.values()):
+            return ranks.select("kind", "host", "rank")
+    raise RuntimeError("ranks did not settle")
 
 
 def host_scores(pages: DataFrame, rules=RULES, max_distrust: float = MAX_DISTRUST) -> DataFrame:
     """host, trust, distrust, host_verdict of every host that a page or a seed's link graph has."""
     judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.where(F.col("host") != "").select("host", fitting_rule(F.col("host"), F.col("path"), rules)["action"].alias("action"))
-    hosts = materialize(
-        judged.groupBy("host").agg(
-            F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked")
-        )
-    )
+    counts = judged.groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked"))
+    hosts = materialize(counts.withColumn("kind", F.when(F.col("allowed") > F.col("blocked"), "trust").when(F.col("blocked") > F.col("allowed"), "distrust")))
+    seeds = hosts.where("kind IS NOT NULL")
+    number = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
     edges = materialize(host_edges(pages))
-
-    def even(rows: DataFrame) -> DataFrame:
-        n = rows.count()
-        return rows.select("host", F.lit(1.0 / max(n, 1)).alias("seed"))
-
-    trust = propagate(even(hosts.where(F.col("allowed") > F.col("blocked"))), edges)
-    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(even(hosts.where(F.col("blocked") > F.col("allowed"))), reverse)
-    both = (
-        hosts.select("host")
-        .join(trust.withColumnRenamed("rank", "trust"), "host", "left")
-        .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-        .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
+        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
+    mass = F.when(F.col("kind") == "trust", 1.0 / number.get("trust", 1)).otherwise(1.0 / number.get("distrust", 1))
+    ranks = propagate(seeds.select("kind", "host", mass.alias("seed")), both)
+    ranked = ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    scores = hosts.select("host").join(ranked, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust"))
-    return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
+    return scores.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, max_distrust: float = MAX_DISTRUST) -> DataFrame:
