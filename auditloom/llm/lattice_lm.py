@@ -14,17 +14,20 @@ with `PRIOR_MASS` pseudo-counts, give the probabilities that score.
 
 Plan. Each task counts its words and the counts meet by word, so that the shuffle carries a row for
 each distinct word and task. Each distinct word is scored once. The most frequent words, at most
-`SHIPPED_WORDS` of them and short ones only, travel to the tasks that read the texts; every other
+`SHIPPED_WORDS` of them and `SHIPPED_BYTES`, travel to the tasks that read the texts; every other
 word of a document is joined to its score by word, and sums come back by document. Texts are never
 shuffled.
 
 Defined results: a null or blank text has the end only; a null doc_id is never held out; repeated
-rows count each; with no training documents all counts are 0; an empty table gives no rows.
+rows count each; with no training documents all counts are 0; a word of any length is scored whole,
+in memory for two numbers a character; extra columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -40,9 +43,9 @@ HELD_OUT_OF, HELD_OUT = 7, 2
 END = ""
 _END = END.encode()
 PRIOR_MASS = 10_000.0
-#: Bounds of what travels to every task: words, and characters of such a word.
+#: Bounds of what travels to every task: words, and bytes of them all.
 SHIPPED_WORDS = 500_000
-SHIPPED_CHARS = 40
+SHIPPED_BYTES = 16_000_000
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 400_000
 #: Longest word, with the mark, whose lattice is worked out together with others of its length.
@@ -65,51 +68,45 @@ class Lattice:
         self.weights = [float(x) for x in weights]
         self.longest = max(map(len, self.ids), default=1)
 
-    def _edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position, the edges that arrive: start, piece ids, probability."""
-        text, ids, weights = self.mark + word, self.ids, self.weights
-        n, longest = len(text), self.longest
-        arrive = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = ids.get(text[i:j])
-                if k is not None:
-                    arrive[j].append((i, (k,), weights[k]))
-            if text[i] not in ids:
-                spelled = tuple(self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                arrive[i + 1].append((i, spelled, sum(weights[k] for k in spelled)))
-        return arrive
+    def _arriving(self, text: str, j: int):
+        """Edges that end before position j: start, piece ids, log weight; found anew each time, so none are kept."""
+        ids, weights = self.ids, self.weights
+        for i in range(max(0, j - self.longest), j):
+            k = ids.get(text[i:j])
+            if k is not None:
+                yield i, (k,), weights[k]
+        if text[j - 1] not in ids:
+            spelled = tuple(self.bytes[b] for b in text[j - 1].encode("utf-8", "surrogatepass"))
+            yield j - 1, spelled, sum(weights[k] for k in spelled)
 
     @staticmethod
     def _sum(logs: list[float]) -> float:
-        if len(logs) == 1:
-            return logs[0]
+        if len(logs) <= 1:
+            return logs[0] if logs else -math.inf
         top = max(logs)
         return top + math.log(sum([math.exp(x - top) for x in logs])) if top > -math.inf else top
 
-    def forward(self, word: str, arrive=None) -> list[float]:
-        alpha = [0.0]
-        for edges in (arrive or self._edges(word))[1:]:
-            alpha.append(self._sum([alpha[i] + w for i, _, w in edges]) if edges else -math.inf)
-        return alpha
-
     def log_prob(self, word: str) -> float:
-        return self.forward(word)[-1]
+        """Forward recursion over a ring of the last positions that a piece can reach back to."""
+        text, size = self.mark + word, self.longest + 1
+        ring = [0.0] * size
+        for j in range(1, len(text) + 1):
+            ring[j % size] = self._sum([ring[i % size] + w for i, _, w in self._arriving(text, j)])
+        return ring[len(text) % size]
 
     def expect(self, word: str, count: float, into: np.ndarray) -> None:
-        """Add the expected uses of each piece in `count` copies of the word."""
-        arrive = self._edges(word)
-        alpha = self.forward(word, arrive)
-        n = len(alpha)
-        beta = [0.0] * n  # of paths from here to the end, by pushing back along the edges
-        out = [[] for _ in range(n)]
-        for j in range(n - 1, 0, -1):
-            if j < n - 1:
-                beta[j] = self._sum(out[j]) if out[j] else -math.inf
-            for i, pieces, w in arrive[j]:
+        """Add the expected uses of each piece in `count` copies of the word; two numbers for each position are held."""
+        text = self.mark + word
+        n = len(text)
+        alpha, beta = array("d", [0.0]), array("d", [-math.inf]) * (n + 1)
+        for j in range(1, n + 1):
+            alpha.append(self._sum([alpha[i] + w for i, _, w in self._arriving(text, j)]))
+        beta[n] = 0.0
+        for j in range(n, 0, -1):
+            for i, pieces, w in self._arriving(text, j):
                 x = w + beta[j]
-                out[i].append(x)
-                share = math.exp(alpha[i] + x - alpha[-1]) * count
+                beta[i] = self._sum([beta[i], x])
+                share = math.exp(alpha[i] + x - alpha[n]) * count
                 for k in pieces:
                     into[k] += share
 
@@ -202,17 +199,16 @@ def _task_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInPandas(run, "word string, n long, uses long")
 
 
-def _frequent(table: DataFrame, most: int, chars: int) -> DataFrame:
-    """The words used at least so often, by a power of two, that they are no more than `most`."""
-    table = table.where(F.length("word") <= chars)
-    level = F.floor(F.log2(F.col("uses").cast("double"))).cast("int")
-    levels = dict(table.groupBy(level.alias("level")).count().collect())  # at most 64 rows
-    total, least = 0, 64
-    for k in sorted(levels, reverse=True):
-        total += levels[k]
-        if total > most:
+def _frequent(table: DataFrame, most: int, size: int) -> DataFrame:
+    """The words used at least so often, by a quarter of a power of two, that they are no more than `most` and `size` bytes."""
+    level = F.floor(4 * F.log2(F.col("uses").cast("double"))).cast("int")
+    levels = table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes"))
+    n, used, least = 0, 0, 256
+    for row in sorted(levels.collect(), key=lambda r: -r["level"]):  # at most 256 rows
+        n, used = n + row["n"], used + row["bytes"]
+        if n > most or used > size:
             break
-        least = k
+        least = row["level"]
     return table.where(level >= least)
 
 
@@ -254,7 +250,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
             yield pd.DataFrame({"word": frame["word"], "known": (frame["c"] > 0).astype("int64"), "base": base, "lp": lp, "uses": frame["uses"]})
 
     table = stored(counts.mapInPandas(scored, "word string, known long, base double, lp double, uses long"))
-    near = _frequent(table, shipped_words, SHIPPED_CHARS).select("word", "known", "base", "lp").toArrow()  # at most `shipped_words` rows
+    near = _frequent(table, shipped_words, SHIPPED_BYTES).select("word", "known", "base", "lp").toArrow()  # at most `shipped_words` rows
     shipped = spark_broadcast(docs, (near.column("word").to_pylist(), *[near.column(c).to_numpy() for c in ("known", "base", "lp")]))
 
     def partial(frames):
