@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -123,7 +124,7 @@ def test_overlaps(spark, bound):
     assert decontamination.drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
-def _pagerank(seeds, edges, damping=0.85, steps=30):
+def _pagerank(seeds, edges, damping=0.85, steps=200):
     rank = dict(seeds)
     out = {}
     for (a, b), w in edges.items():
@@ -165,6 +166,55 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_of_a_link_graph(spark, tmp_path):
+    rnd = random.Random(12)
+    tops = ("com", "net", "org", "info")
+    hosts = [f"h{k}.{tops[k % 4]}" for k in range(60)]
+    pages = []
+    for k in range(400):
+        here = rnd.choice(hosts)
+        links = "".join(f'<a href="http://{rnd.choice(hosts)}/{rnd.randint(0, 9)}">' for _ in range(rnd.randint(0, 3)))
+        pages.append((k, rnd.choice([None, "x", f"https://{here}/{rnd.choice(['en', 'de', 'es', 'fr'])}/{k}"]) if k % 9 == 0 else f"https://{here}/{rnd.choice(['en', 'de', 'es', 'fr'])}/{k}", links))
+    pages += [(900, "https://h1.net/fr/1", LONG * 20 + '<a href="//h2.org/">'), pages[5], pages[5], (901, "https://even.com/en/", ""), (902, "https://even.com.net/de/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["op5_url_filters"](spark, str(tmp_path)).collect()
+
+    def split(url):
+        at = (url or "").find("://")
+        rest = url[at + 3 :] if at >= 0 else ""
+        end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        path = rest[end:]
+        return rest[:end].lower(), path[: next((i for i, c in enumerate(path) if c in "?#"), len(path))]
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, a) for a, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    seen, edges = {}, {}
+    for _, url, html in pages:
+        host, path = split(url)
+        if host:
+            own = seen.setdefault(host, [0, 0])
+            action = rule(host, path)[1]
+            own[0] += action == "allow"
+            own[1] += action == "block"
+            for other in {x.lower() for x in re.findall(r'href="(?:http:)?//([^/"]+)', html or "")} - {host}:
+                edges[host, other] = edges.get((host, other), 0) + 1
+    good, bad = [h for h, (a, b) in seen.items() if a > b], [h for h, (a, b) in seen.items() if b > a]
+    assert good and bad
+    trust = _pagerank({h: 1 / len(good) for h in good}, edges)
+    distrust = _pagerank({h: 1 / len(bad) for h in bad}, {(b, a): w for (a, b), w in edges.items()})
+    want = []
+    for page, url, _ in pages:
+        host, path = split(url)
+        name, action = rule(host, path)
+        worse = host in seen and distrust.get(host, 0) > 0.5 * (trust.get(host, 0) + distrust.get(host, 0))
+        want.append((page, host, path, name, action or ("block" if worse else "allow")))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {w[4] for w in want if w[3] is None and w[1]} == {"allow", "block"}
+
+
 def test_licenses(spark):
     rnd = random.Random(2)
     plain = lambda: " ".join(rnd.choice("the of and license work free river under version public car tree house".split()) for _ in range(25))

@@ -64,6 +64,76 @@ def test_language_accuracy_and_switching(spark, sf):
     assert best[0] == "en" and best[-1] == "de"
 
 
+def _plain_language(model, text):
+    """(lang_pred, score) by sums over all paths, word by word, from the fitted weights."""
+    langs, n = model["langs"], len(model["langs"])
+    add = lambda xs: max(xs) + np.log(sum(np.exp(x - max(xs)) for x in xs))
+    total = np.zeros(n)
+    for line in (text or "").split("\n"):
+        words = [w for w in brute.WORD.findall(line)]
+        if not words:
+            continue
+        rows, counted = [], []
+        for w in words:
+            s = language_id.letters_of(w)
+            counted.append(any(map(str.isalpha, s)))
+            own = [model["w"][model["features"][f]] for f in language_id.features_of(s) if f in model["features"]] if counted[-1] else []
+            rows.append(sum(own, np.zeros(n)))
+        forward, backward = [model["s"] + rows[0]], [np.zeros(n)]
+        for row in rows[1:]:
+            forward.append(np.array([add([forward[-1][a] + model["t"][a, b] for a in range(n)]) + row[b] for b in range(n)]))
+        for row in rows[:0:-1]:
+            backward.append(np.array([add([model["t"][a, b] + row[b] + backward[-1][b] for b in range(n)]) for a in range(n)]))
+        for f, b, c in zip(forward, backward[::-1], counted):
+            if c:
+                total += np.exp(f + b - add(list(f + b)))
+    if total.sum() == 0:
+        return "und", 0.0
+    return langs[int(total.argmax())], float(total.max() / total.sum())
+
+
+def test_language_against_plain_sums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(language_id.training_lines(docs))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in registry.queries()["op2_language_id"](spark, sf).collect()}
+    for d, t, _ in [r for r in texts(sf) if len(r[1] or "") < 6000]:
+        lang, score = _plain_language(model, t)
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score, abs=1e-9), d
+
+
+def test_feature_kinds_are_apart():
+    kinds = lambda w: {f[0] for f in language_id.features_of(w)}
+    assert kinds("prose") == set("ps23w")
+    own = language_id.features_of("aprobewas")
+    assert len(set(own)) == len(own) and not set(language_id.features_of("pro")) & {f[1:] for f in own}
+
+
+def test_language_switches_within_a_line(sf):
+    own = {}
+    for _, t, lang in texts(sf):
+        own.setdefault(lang, []).extend(x for x in (t or "").split("\n") if len(x.split()) >= 8)
+    lines = [(x, lang) for lang, xs in own.items() for x in xs[: len(xs) // 2][:200]]
+    model, rnd, hits, n = language_id.fit(lines), random.Random(5), 0, 0
+    for _ in range(200):
+        a, b = rnd.sample(sorted(own), 2)
+        left, right = (rnd.choice(own[x][len(own[x]) // 2 :]).split() for x in (a, b))
+        post = language_id.label_lines(model, [left + right])[0]
+        best = [model["langs"][k] for k in post.argmax(axis=1)]
+        hits += sum(x == y for x, y in zip(best, [a] * len(left) + [b] * len(right)))
+        n += len(best)
+    print("words of switched lines labelled right:", hits / n)
+    assert hits >= 0.9 * n and (model["t"].diagonal() > model["t"].mean()).all()
+
+
+def test_sample_is_bounded_and_has_every_language(spark):
+    data = [(i, f"w{i} a\nb c {i}\n\nd", f"l{i % 70:02}") for i in range(4000)]
+    lines = language_id.training_lines(table(spark, data), train_docs=3, train_lines=5)
+    counts = {}
+    for _, lang in lines:
+        counts[lang] = counts.get(lang, 0) + 1
+    assert set(counts.values()) == {5} and len(counts) == 70
+
+
 def test_language_edges(spark):
     data = [(i, f"der die und nicht {i} ung lich", "de") for i in range(30)] + [(100 + i, f"the and of with {i} ing tion", "en") for i in range(30)]
     data += [(200, None, "en"), (201, "", "en"), (202, "123 !! 45", None), (None, "the of and", "en"), (203, "the of and", None), (204, LONG.replace("w", "the "), "en"), (205, "\n\n the\x0b\n", "en")]
@@ -250,6 +320,22 @@ def test_lattice_sums_all_paths():
     assert np.allclose(into, expected)
 
 
+def test_lattice_of_a_very_long_word():
+    spec, prior = lattice_lm.load_vocabulary(lattice_lm.default_path())
+    lattice = lattice_lm.Lattice(spec, prior)
+    word = "".join(random.Random(1).choice("abtheingo🎉é") for _ in range(300))
+    text, alpha = lattice.mark + word, [0.0]  # the whole table
+    for j in range(1, len(text) + 1):
+        alpha.append(lattice._sum([alpha[i] + w for i, _, w in lattice._arriving(text, j)]))
+    assert lattice.log_prob(word) == pytest.approx(alpha[-1])
+    import tracemalloc
+
+    tracemalloc.start()
+    assert np.isfinite(lattice.log_prob("ab" * 500_000))
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("shipped", [0, 3, 10_000])
 def test_lattice_scores(spark, shipped):
     data = [(i, " ".join(random.Random(i).choice(["The", "cat", "sat", "on", "été", "🎉"]) for _ in range(i % 9))) for i in range(40)]
