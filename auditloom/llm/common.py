@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.sources.storage import shared_folder, written
+
 #: Fixed by the result contracts: what separates words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -30,18 +30,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; only where the session names none (tests), a folder of our own."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "checkpoints"))
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -57,11 +48,7 @@ def broadcast_if_small(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared checkpoint folder; smaller on disk than a checkpoint of many rows."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def spark_broadcast(df: DataFrame, value):

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -231,6 +232,53 @@ def test_licenses(spark):
     assert license_scan.fit(spark, table(spark, []))["classes"] == model["classes"]
 
 
+def grams(text):
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    return [tuple(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1)]
+
+
+def test_licence_scores_against_plain_sums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = license_scan.fit(spark, docs)
+    texts, owner = model["texts"], [f for f in model["classes"][:-1] for _ in license_scan.TEMPLATES[f]]
+    names = sorted({g for t in texts for g in grams(t)})
+    made = spark.createDataFrame([(k, *g, None)[:4] for k, g in enumerate(names)], "k int, a string, b string, c string")
+    h = [F.xxhash64(F.col(c)) for c in "abc"]
+    hashed = made.select("k", F.when(F.col("c").isNull(), F.xxhash64(h[0], h[1])).otherwise(F.xxhash64(*h)).alias("h")).collect()
+    weights = {names[r["k"]]: dict((x["gram"], x["w"]) for x in model["weights"])[r["h"]] for r in hashed}
+    got = {(r["doc_id"], r["paragraph"]): r for r in registry.queries()["op10_license_scan"](spark, sf).collect()}
+    want, classes = {}, model["classes"]
+    for d, text in [tuple(r) for r in docs.collect()]:
+        for p, line in enumerate((text or "").split("\n")):
+            own = grams(line)
+            there = {g for g in own if g in weights}
+            if not there:
+                continue
+            z = [b + s * (1 - len(there) / len(own)) + sum(weights[g][k] for g in there) for k, (b, s) in enumerate(zip(model["bias"], model["strange"]))]
+            best = max(range(len(z)), key=lambda k: (z[k], -k))
+            probability = 1 / sum(math.exp(v - z[best]) for v in z)
+            if classes[best] == license_scan.UNKNOWN or probability < license_scan.MIN_PROBABILITY:
+                continue
+            like = [(min(1.0, len(set(grams(t)) & there) / min(len(set(grams(t))), len(own))), -k) for k, (t, f) in enumerate(zip(texts, owner)) if f == classes[best]]
+            want[d, p] = (classes[best], probability, max(like)[0])
+    assert len(want) >= 3 and set(got) == set(want)
+    for key, (family, probability, likeness) in want.items():
+        r = got[key]
+        assert r["family"] == family and r["probability"] == pytest.approx(probability, abs=1e-4) and r["similarity"] == pytest.approx(likeness), key
+        assert r["confirmed"] == (likeness >= license_scan.MIN_SIMILARITY)
+    print("licences on held-back wording:", model["temperature"], model["held_back"])
+    assert model["held_back"]["right"] > 0.5
+
+
+def test_licence_sample_and_ties(spark):
+    data = [(i, f"line {i % 40} of text\nother {i}", "s") for i in range(300)]
+    assert len(license_scan.sample_lines(table(spark, data), 20)) == 20
+    model = license_scan.fit(spark, table(spark, data))
+    twin = {**model, "weights": [{**r, "w": [5.0, 5.0, *[0.0] * (len(model["classes"]) - 2)]} for r in model["weights"]], "bias": [0.0] * len(model["classes"]), "strange": [0.0] * len(model["classes"])}
+    got = license_scan.scan(spark, table(spark, [(1, "Released under the MIT License.", "s"), (2, LONG + " Released under the MIT License.", "s")]), twin, min_probability=0.1).collect()
+    assert {r["family"] for r in got} == {model["classes"][0]} and {r["doc_id"] for r in got} == {1, 2}
+
+
 def test_native_plans_have_no_python(spark, sf):
     for name in ("op1_quality_rules", "op3_line_dedup", "op4_benchmark_decontamination", "op10_license_scan"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
