@@ -19,12 +19,15 @@ hash is its anchor. Equal strings have equal anchors, so
    but the earliest are repeats;
 4. repeats come back to their documents as ranges.
 
-A gram that more than `CROWD` blocks bring along would be too much for one task: its strings are
-counted one by one by a 128-bit hash, which spreads over all tasks.
-
-Defined results: a null text is empty; texts shorter than `LENGTH` lose nothing; rows that repeat a
-doc_id are one document at the same places, so none of them is earlier than another; a null doc_id
-comes before all others; an empty table gives no rows.
+A gram that more than `CROWD` blocks bring along would be too much for one task: its blocks are cut
+into parts of 8 strings whose anchors lie at like places, and these meet by the 93 bytes that all
+strings of a part share; parts that are still too many are cut into single strings. Parts go the same
+way as blocks, through the suffix arrays.
+
+Defined results: a null text is empty; texts shorter than `LENGTH` lose nothing; whole texts of any
+length are read; rows that repeat a doc_id are one document at the same places, so none of them is
+earlier than another, and ties in place don't arise; a null doc_id comes before all others; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,9 +50,14 @@ CROWD = 5_000
 CHUNK = 1_000_000
 #: Bytes whose anchors are looked for at a time.
 TILE = 1 << 16
-#: Repeated grams (8 bytes each) and documents' ranges are broadcast up to these numbers, and joined beyond.
+#: Strings in parts of the blocks of crowded grams, at most, step by step.
+WIDTHS = (8, 1)
+#: Bytes of a document whose removed runs one task merges.
+STRETCH = 1 << 20
+#: Repeated grams (8 bytes each), crowded grams and bytes of documents' ranges are broadcast up to these numbers, and joined beyond.
 BROADCAST_GRAMS = 4_000_000
-BROADCAST_DOCS = 1_000_000
+BROADCAST_CROWDED = 1_000_000
+BROADCAST_BYTES = 64_000_000
 NO_ID = -(1 << 63)
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -270,35 +278,76 @@ def _judged(frames):
         yield work()
 
 
-def _crowd_strings(frames):
-    for frame in frames:
-        out = {"w1": [], "w2": [], "doc_id": [], "start": [], "b1": [], "b2": [], "at": []}
-        for row in frame.itertuples(index=False):
-            for k in range(len(row.block) - LENGTH + 1):
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(row.block[k : k + LENGTH]), dtype="<i8")
-                for key, x in zip(out, (a, b, row.doc_id, row.start + k, row.b1, row.b2, k)):
-                    out[key].append(x)
-        yield pd.DataFrame(out)
-
-
-def _crowd_masks(strings: DataFrame, first_doc: DataFrame) -> DataFrame:
-    """b1, b2, gone for the first occurrences of the blocks of crowded grams."""
-    first = strings.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"))
-    there = strings.join(first, ["w1", "w2"]).where(F.col("doc_id") == F.col("d0")).groupBy("w1", "w2", "d0").agg(F.min("start").alias("s0"))
-    own = strings.join(first_doc, ["b1", "b2"]).where((F.col("doc_id") == F.col("first_doc")) & (F.col("start") - F.col("at") == F.col("first_start")))
-    late = own.join(there, ["w1", "w2"]).where((F.col("doc_id") > F.col("d0")) | (F.col("start") > F.col("s0")))
-    places = late.groupBy("b1", "b2").agg(F.collect_set("at").alias("places"))  # at most 65
+def _split(width: int):
+    """Function over first occurrences of blocks: their parts of `width` strings at most, keyed by what all strings of the part must share.
+
+    The place of its anchor belongs to a string, so equal strings are in parts of the same number; all
+    strings of a part hold the LENGTH - width + 1 bytes around the anchor that make the part's gram.
+    """
 
     def run(frames):
+        names = ["b1", "b2", "first_doc", "first_start", "at", "n", "gram", "block", "c1", "c2"]
         for frame in frames:
-            gone = []
-            for places_ in frame["places"]:
-                mask = np.zeros(LENGTH, dtype=bool)
-                mask[list(places_)] = True
-                gone.append(_ranges(mask))
-            yield pd.DataFrame({"b1": frame["b1"], "b2": frame["b2"], "gone": gone})
-
-    return places.mapInPandas(run, "b1 long, b2 long, gone binary")
+            rows = []
+            for b1, b2, doc_id, start, block in zip(*[frame[c] for c in ("b1", "b2", "first_doc", "first_start", "block")]):
+                n = len(block) - LENGTH + 1
+                place = int(_anchors(np.frombuffer(block, dtype=np.uint8))[0][0])
+                stop = n
+                while stop > 0:  # from the last string, which is nearest to the anchor
+                    number = (place - stop + 1) // width
+                    begin = max(0, place - number * width - width + 1)
+                    shared = place - number * width
+                    gram = xxhash.xxh64_intdigest(block[shared : shared + LENGTH - width + 1], number) - (1 << 63)
+                    part = block[begin : stop + LENGTH - 1]
+                    c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(part), dtype="<i8").tolist()
+                    rows.append((b1, b2, doc_id, start, begin, stop - begin, gram, part, c1, c2))
+                    stop = begin
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def _composed(frames):
+    """b1, b2, first_doc, first_start, gone of blocks from what was found for their parts."""
+    for frame in frames:
+        gone = []
+        for parts in frame["parts"]:
+            mask = np.zeros(LENGTH, dtype=bool)
+            for part in parts:
+                if part["whole"]:
+                    mask[part["at"] : part["at"] + part["n"]] = True
+                elif part["gone"] is not None:
+                    edge = np.frombuffer(part["gone"], dtype="<u2").astype(np.int64) + part["at"]
+                    for first, end in zip(edge[0::2], edge[1::2]):
+                        mask[first:end] = True
+            gone.append(_ranges(mask) or None)
+        yield pd.DataFrame({**{c: frame[c] for c in ("b1", "b2", "first_doc", "first_start")}, "gone": gone})
+
+
+def _firsts(meeting: DataFrame, crowd: int, widths=WIDTHS) -> DataFrame:
+    """b1, b2, first_doc, first_start, gone of every block. meeting: gram, block, b1, b2, doc_id, start, with each block's first occurrence.
+
+    Grams that more than `crowd` rows bring along are resolved by parts of their blocks, which meet by
+    longer grams; parts of single strings that still meet are equal, so the last step needs no bound.
+    """
+    schema = "b1 long, b2 long, first_doc long, first_start int, gone binary"
+    judged = lambda rows: rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(_judged, schema)
+    if not widths:
+        return judged(meeting)
+    crowded = stored(meeting.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gram"))
+    if at_most(crowded, 0):
+        return judged(meeting)
+    place = F.struct("doc_id", "start")
+    hard = meeting.join(F.broadcast(crowded) if at_most(crowded, BROADCAST_CROWDED) else crowded, "gram", "left_semi")
+    hard = hard.groupBy("b1", "b2").agg(F.min(place).alias("p"), F.min("block").alias("block"))  # equal blocks
+    hard = hard.select("b1", "b2", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"), "block")
+    parts = "b1 long, b2 long, first_doc long, first_start int, at int, n int, gram long, block binary, c1 long, c2 long"
+    parts = stored(hard.mapInPandas(_split(widths[0]), parts))
+    below = parts.select("gram", "block", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first_doc").alias("doc_id"), (F.col("first_start") + F.col("at")).alias("start"))
+    found = _firsts(below, crowd, widths[1:]).select(F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("first_doc").alias("d0"), F.col("first_start").alias("s0"), "gone")
+    whole = (F.col("first_doc") != F.col("d0")) | (F.col("first_start") + F.col("at") != F.col("s0"))
+    own = parts.drop("block", "gram").join(found, ["c1", "c2"]).groupBy("b1", "b2", "first_doc", "first_start").agg(F.collect_list(F.struct("at", "n", whole.alias("whole"), "gone")).alias("parts"))
+    return judged(meeting.join(crowded, "gram", "left_anti")).unionByName(own.mapInPandas(_composed, schema))
 
 
 def _with_starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -317,7 +366,7 @@ def _with_starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, ranges (sorted first and end of the removed runs of bytes, as 64-bit numbers) of each doc_id that loses bytes."""
+    """doc_id, ranges (first and end of the removed runs of bytes, as 64-bit numbers, in one piece for each stretch) of each doc_id that loses bytes."""
     grams = stored(_repeated_grams(docs))
     if at_most(grams, broadcast_grams):
         occurrences = _occurrences(docs, spark_broadcast(docs, np.sort(grams.toArrow().column("gram").to_numpy())))
@@ -325,15 +374,7 @@ def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BR
         occurrences = _occurrences(_with_starts(docs, grams), None)
     occurrences = stored(occurrences)
     meeting = occurrences.where("block IS NOT NULL").select("gram", "block", "b1", "b2", "doc_id", "start")
-    crowded = stored(meeting.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gram"))
-    no_crowd = at_most(crowded, 0)
-    dealt = (meeting if no_crowd else meeting.join(crowded, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram")
-    firsts = dealt.mapInPandas(_judged, "b1 long, b2 long, first_doc long, first_start int, gone binary")
-    if not no_crowd:
-        packed = meeting.join(crowded, "gram", "left_semi")
-        strings = packed.mapInPandas(_crowd_strings, "w1 long, w2 long, doc_id long, start int, b1 long, b2 long, at int")
-        first_doc = packed.groupBy("b1", "b2").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"))
-        firsts = firsts.unionByName(first_doc.join(_crowd_masks(stored(strings), first_doc), ["b1", "b2"], "left"))
+    firsts = _firsts(meeting, crowd)
     places = occurrences.select("b1", "b2", "doc_id", "start", "strings")
     joined = places.join(firsts, ["b1", "b2"]).withColumn("whole", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") > F.col("first_start")))
     lost = joined.where("whole OR gone IS NOT NULL").select("doc_id", "start", "strings", F.when(~F.col("whole"), F.col("gone")).alias("gone"))
@@ -348,13 +389,23 @@ def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BR
                 edge = np.frombuffer(gone, dtype="<u2").astype(np.int64)
                 begins += (start + edge[0::2]).tolist()
                 ends += (start + edge[1::2] - 1 + LENGTH).tolist()
-        order = np.argsort(begins, kind="stable")
-        b, e = np.array(begins)[order], np.maximum.accumulate(np.array(ends)[order])
-        new = np.concatenate([[True], b[1:] > e[:-1]])
-        out = np.stack([b[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]], axis=1)
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "ranges": [out.astype("<i8").tobytes()]})
-
-    return lost.groupBy("doc_id").applyInPandas(merge, "doc_id long, ranges binary")
+        out = np.array(_merged(begins, ends), dtype="<i8")
+        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "stretch": [frame["stretch"].iloc[0]], "ranges": [out.tobytes()]})
+
+    lost = lost.withColumn("stretch", F.expr(f"start div {STRETCH}").cast("int"))  # a long document is merged by several tasks
+    merged = lost.groupBy("doc_id", "stretch").applyInPandas(merge, "doc_id long, stretch int, ranges binary")
+    return merged.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))  # one for each stretch of the document
+
+
+def _merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Runs that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(zip(begins, ends)):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((b, e))
+    return out
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
@@ -363,8 +414,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = own.withColumn("__own", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     found = stored(repeat_ranges(keyed.select("doc_id", "text")))
-    if at_most(found, BROADCAST_DOCS):
-        found = F.broadcast(found)  # a few numbers for each document
+    size = found.agg(F.sum(F.aggregate("ranges", F.lit(0), lambda a, x: a + F.octet_length(x)) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
 
     def run(batches):
@@ -372,7 +424,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
             cols = {k: [] for k in names[1:]}
             for data, ranges in zip(_texts(batch), batch.column("ranges").to_pylist()):
                 kept, at, n_spans = [], 0, 0
-                for b, e in np.frombuffer(ranges or b"", dtype="<i8").reshape(-1, 2).tolist():
+                edges = np.frombuffer(b"".join(ranges or ()), dtype="<i8").reshape(-1, 2)
+                for b, e in _merged(edges[:, 0].tolist(), edges[:, 1].tolist()):
                     kept.append(data[at:b])
                     at, n_spans = e, n_spans + 1
                 kept = b"".join([*kept, data[at:]])

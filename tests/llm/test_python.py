@@ -191,6 +191,19 @@ def test_repeats_edges(spark, crowd, grams, monkeypatch):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("widths", [(8, 1), (8,), (1,), (30, 3)])
+def test_parts_of_crowded_blocks(spark, widths, monkeypatch):
+    rnd = random.Random(7)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(60))
+    data = [(i, "".join(rnd.choice("xy") for _ in range(rnd.randint(0, 90))) + core + "".join(rnd.choice("uv") for _ in range(rnd.randint(0, 9))) + "z" * 50) for i in range(150)]
+    ranges, firsts = suffix_dedup.repeat_ranges, suffix_dedup._firsts
+    monkeypatch.setattr(suffix_dedup, "_firsts", lambda m, c, w=widths: firsts(m, c, w))
+    monkeypatch.setattr(suffix_dedup, "repeat_ranges", lambda d: ranges(d, crowd=3))
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = sorted(tuple(r[c] for c in cols) for r in suffix_dedup.remove_repeats(table(spark, data)).collect())
+    assert got == brute.repeats(data)
+
+
 def test_repeats_of_the_query(spark, sf):
     got = [tuple(r) for r in registry.queries()["op6_suffix_dedup"](spark, sf).collect()]
     assert sorted(got) == sorted(brute.repeats([r[:2] for r in texts(sf)]))
