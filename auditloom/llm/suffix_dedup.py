@@ -379,24 +379,53 @@ def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BR
     joined = places.join(firsts, ["b1", "b2"]).withColumn("whole", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") > F.col("first_start")))
     lost = joined.where("whole OR gone IS NOT NULL").select("doc_id", "start", "strings", F.when(~F.col("whole"), F.col("gone")).alias("gone"))
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        begins, ends = [], []
-        for start, n, gone in zip(frame["start"], frame["strings"], frame["gone"]):
-            if gone is None:
-                begins.append(start)
-                ends.append(start + n - 1 + LENGTH)
-            else:
-                edge = np.frombuffer(gone, dtype="<u2").astype(np.int64)
-                begins += (start + edge[0::2]).tolist()
-                ends += (start + edge[1::2] - 1 + LENGTH).tolist()
-        out = np.array(_merged(begins, ends), dtype="<i8")
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "stretch": [frame["stretch"].iloc[0]], "ranges": [out.tobytes()]})
-
     lost = lost.withColumn("stretch", F.expr(f"start div {STRETCH}").cast("int"))  # a long document is merged by several tasks
-    merged = lost.groupBy("doc_id", "stretch").applyInPandas(merge, "doc_id long, stretch int, ranges binary")
+    dealt = lost.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch")
+    merged = dealt.mapInArrow(_stretches, "doc_id long, ranges binary")
     return merged.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))  # one for each stretch of the document
 
 
+def _stretches(batches):
+    """doc_id, ranges of each stretch, the runs merged; rows arrive by doc_id and stretch."""
+
+    def runs(doc, stretch, begin, end):
+        order = np.lexsort((begin, stretch, doc))
+        doc, stretch, begin, end = doc[order], stretch[order], begin[order], end[order]
+        fresh = np.append(True, (doc[1:] != doc[:-1]) | (stretch[1:] != stretch[:-1]))
+        shift = np.cumsum(fresh) << 40  # so that the largest end so far starts anew with each stretch
+        reach = np.maximum.accumulate(end + shift)
+        first = np.flatnonzero(np.append(True, (begin + shift)[1:] > reach[:-1]))
+        last = np.append(first[1:], len(begin)) - 1
+        pairs = np.stack([begin[first], (reach - shift)[last]], axis=1).astype("<i8")
+        heads = np.flatnonzero(fresh[first])
+        offsets = np.append(heads, len(first)).astype(np.int32) * 16
+        ranges = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(doc[first[heads]]), ranges], names=["doc_id", "ranges"])
+
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        doc, stretch, start, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "stretch", "start", "strings"))
+        gone, part = batch.column("gone"), np.flatnonzero(batch.column("gone").is_valid().to_numpy(zero_copy_only=False))
+        own = [[doc, stretch, start, start + n - 1 + LENGTH]]
+        if len(part):
+            keep = np.ones(len(doc), dtype=bool)
+            keep[part] = False
+            own = [[x[keep] for x in own[0]]]
+            edges = [np.frombuffer(gone[int(k)].as_py(), dtype="<u2").astype(np.int64) for k in part]
+            times, edges = np.array([len(e) // 2 for e in edges]), np.concatenate(edges)
+            at = np.repeat(start[part], times)
+            own.append([np.repeat(doc[part], times), np.repeat(stretch[part], times), at + edges[0::2], at + edges[1::2] - 1 + LENGTH])
+        held = [np.concatenate(x) for x in zip(held, *own)]
+        if not len(doc):
+            continue
+        now = (held[0] == doc[-1]) & (held[1] == stretch[-1])  # may go on in the next batch
+        if not now.all():
+            yield runs(*[x[~now] for x in held])
+            held = [x[now] for x in held]
+    if len(held[0]):
+        yield runs(*held)
+
+
 def _merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Runs that overlap or touch as one, in order."""
     out: list[tuple[int, int]] = []
