@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,16 @@ TASK_WORDS = 400_000
 #: Longest word, with the mark, whose lattice is worked out together with others of its length.
 BATCH_CHARS = 32
 BATCH_WORDS = 4096
+#: Words, and characters of them, that a task takes up before it works them out.
+GATHERED_WORDS = 50_000
+GATHERED_CHARS = 2_000_000
 
 _LOG10 = math.log(10)
+#: How a piece's hash grows, and where it is kept.
+_GROW = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_BITS = 20
+_SHIFT = np.uint64(64 - _BITS)
 
 
 def words_of_text(text: str | None) -> list[bytes]:
@@ -67,6 +76,43 @@ class Lattice:
         self.mark, self.ids, self.bytes, self.end = spec["mark"], spec["pieces"], spec["bytes"], spec["end"]
         self.weights = [float(x) for x in weights]
         self.longest = max(map(len, self.ids), default=1)
+        self.table = None
+
+    def find(self, letters: np.ndarray, pairs: dict[tuple[int, int], int]) -> np.ndarray:
+        """For texts of one length (a row of code points each) the piece ids of letters [i, j), in the row pairs[i, j]; no piece: the number of weights.
+
+        Pieces are told by a 64-bit hash that grows letter by letter, kept in two tables: those whose
+        place is taken in the first are in the second.
+        """
+        if self.table is None:
+            self.table = self._tables()
+        (hash_1, id_1), (hash_2, id_2) = self.table
+        none = np.int32(len(self.weights))
+        codes = letters.T.astype(np.uint64) + np.uint64(1)
+        out = np.empty((len(pairs), letters.shape[0]), dtype=np.int32)
+        for i in range(len(codes)):
+            h = np.zeros(letters.shape[0], dtype=np.uint64)
+            for j in range(i + 1, min(len(codes), i + self.longest) + 1):
+                h = h * _GROW + codes[j - 1]
+                one, two = (h * _PLACE[0]) >> _SHIFT, (h * _PLACE[1]) >> _SHIFT
+                out[pairs[i, j]] = np.where(hash_1[one] == h, id_1[one], np.where(hash_2[two] == h, id_2[two], none))
+        return out
+
+    def _tables(self):
+        none = len(self.weights)
+        tables = [(np.zeros(1 << _BITS, dtype=np.uint64), np.full(1 << _BITS, none, dtype=np.int32)) for _ in _PLACE]
+        for piece, k in self.ids.items():
+            h = 0
+            for c in piece:
+                h = (h * int(_GROW) + ord(c) + 1) % (1 << 64)
+            for (hashes, ids), factor in zip(tables, _PLACE):
+                at = (h * int(factor) % (1 << 64)) >> (64 - _BITS)
+                if ids[at] == none:
+                    hashes[at], ids[at] = h, k
+                    break
+            else:
+                raise ValueError("pieces of this vocabulary share places in both tables")
+        return tables
 
     def _arriving(self, text: str, j: int):
         """Edges that end before position j: start, piece ids, log weight; found anew each time, so none are kept."""
@@ -118,7 +164,7 @@ def _batched(lattice: Lattice, words: list[str], counts=None, into: np.ndarray |
     once. Long words and words with spelled characters go one by one.
     """
     logs = np.full(len(words), -np.inf)
-    weights, get, none = np.append(lattice.weights, -np.inf), lattice.ids.get, len(lattice.weights)
+    weights, none = np.append(lattice.weights, -np.inf), len(lattice.weights)
     by_length: dict[int, list[int]] = {}
     for k, word in enumerate(words):
         by_length.setdefault(len(word) + len(lattice.mark), []).append(k)
@@ -127,10 +173,11 @@ def _batched(lattice: Lattice, words: list[str], counts=None, into: np.ndarray |
             continue
         pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - lattice.longest), j)]
         starts, ends = np.array(pairs).T
+        place = {pair: k for k, pair in enumerate(pairs)}
         for at in range(0, len(members), BATCH_WORDS):
             own = np.array(members[at : at + BATCH_WORDS])
             texts = [lattice.mark + words[k] for k in own]
-            ids = np.array([get(t[i:j], none) for t in texts for i, j in pairs], dtype=np.int64).reshape(len(own), -1).T
+            ids = lattice.find(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(own), n), place)
             w = weights[ids]
             alpha = np.full((n + 1, len(own)), -np.inf)
             alpha[0] = 0.0
@@ -199,6 +246,19 @@ def _task_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInPandas(run, "word string, n long, uses long")
 
 
+def _gathered(frames):
+    """Frames of more words, so that many of a length are worked out together; bounded in words and characters."""
+    held, rows, letters = [], 0, 0
+    for frame in frames:
+        held.append(frame)
+        rows, letters = rows + len(frame), letters + int(frame["word"].str.len().sum())
+        if rows >= GATHERED_WORDS or letters >= GATHERED_CHARS:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, letters = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _frequent(table: DataFrame, most: int, size: int) -> DataFrame:
     """The words used at least so often, by a quarter of a power of two, that they are no more than `most` and `size` bytes."""
     level = F.floor(4 * F.log2(F.col("uses").cast("double"))).cast("int")
@@ -225,7 +285,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
 
     def expected(frames):
         lattice, into = Lattice(spec, prior), np.zeros(size)
-        for frame in frames:
+        for frame in _gathered(frames):
             ends = (frame["word"] == END).to_numpy()
             into[spec["end"]] += frame["c"].to_numpy()[ends].sum()
             words = frame[~ends]
@@ -243,7 +303,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
 
     def scored(frames):
         lattice = Lattice(spec, weights)
-        for frame in frames:
+        for frame in _gathered(frames):
             lp = _batched(lattice, frame["word"].tolist()) / _LOG10
             lp[(frame["word"] == END).to_numpy()] = end_log
             base = np.log10((frame["c"].to_numpy() + 1) / (total + distinct + 1))
@@ -268,7 +328,7 @@ def score_documents(docs: DataFrame, path: str, prior_mass: float = PRIOR_MASS,
 
             for doc_id, text, held_out in zip(frame["doc_id"], frame["text"], frame["held_out"]):
                 own = [*words_of_text(text), _END]
-                k = np.fromiter([find(w, none) for w in own], dtype=np.int64, count=len(own))
+                k = np.array(list(map(find, own, repeat(none))))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
                 put(doc_id, text_hash, held_out, f" {text_hash}", len(own), int(known[k].sum()), float(base[k].sum()), float(lp[k].sum()))
