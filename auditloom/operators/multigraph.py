@@ -24,6 +24,15 @@ def degrees(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.explode(F.array("src", "dst")).alias("uuid")).groupBy("uuid").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def vertices(edge_rows: DataFrame, types: DataFrame) -> DataFrame:
+    """uuid, node_type, degree, first_ts, last_ts, malicious (an end of any such edge) of every vertex. types: uuid, node_type."""
+    ends = edge_rows.select(F.explode(F.array("src", "dst")).alias("uuid"), "timestampNanos", "malicious").groupBy("uuid").agg(
+        F.count(F.lit(1)).alias("degree"), F.min("timestampNanos").alias("first_ts"), F.max("timestampNanos").alias("last_ts"), F.max("malicious").alias("malicious")
+    )
+    named = types.groupBy("uuid").agg(F.min("node_type").alias("node_type"))
+    return ends.join(named, "uuid", "left").select("uuid", F.coalesce("node_type", F.lit("unknown")).alias("node_type"), "degree", "first_ts", "last_ts", "malicious")
+
+
 def top_degree(edge_rows: DataFrame, k: int = 10) -> DataFrame:
     return degrees(edge_rows).orderBy(F.desc("degree"), "uuid").limit(k)
 

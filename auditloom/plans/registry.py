@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars
@@ -114,6 +116,32 @@ def _multigraph(s, d):
     return multigraph.edges(model.labelled(s, d))
 
 
+def _file_lines(s, d):
+    """Lines read back from gzip files that the raw lines were written to, by a list of globs."""
+    folder = f"{storage.shared_folder(s)}/{uuid.uuid4().hex}"
+    raw.lines(s, d).write.partitionBy("file").option("compression", "gzip").text(folder)
+    return records.read_lines(s, [f"{folder}/file={name}/*.gz" for name in ("nodes.json", "h*.json")])
+
+
+def _files(s, d):
+    parsed = records.records(_file_lines(s, d))
+    return parsed.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("parsed").alias("n_parsed"), F.count_if(F.col("table") == "events").alias("n_events"))
+
+
+def _folder(s, d):
+    """Events written by host and read back as a folder: wanted columns, a pushed time range, files by name."""
+    folder = f"{storage.shared_folder(s)}/{uuid.uuid4().hex}"
+    own = tables.events(s, d).withColumn("file", F.concat("hostId", F.lit(".json")))
+    tables.write_table(own, folder, by_file="file", rows_per_file=5_000)
+    lo, hi = model.ATTACKS[0][2], model.ATTACKS[5][3]
+    held = tables.scan(s, folder, ["uuid", "timestampNanos", "missing"], F.col("timestampNanos").between(lo, hi), name_prefix="part-")
+    return held.agg(F.count(F.lit(1)).alias("n"), F.min("timestampNanos").alias("lo"), F.max("timestampNanos").alias("hi"), F.count("uuid").alias("n_uuid"))
+
+
+def _vertices(s, d):
+    return multigraph.vertices(_multigraph(s, d), graphs.typed_nodes(*model.node_tables(s, d)))
+
+
 def _parsed(s, d):
     return records.records(raw.lines(s, d))
 
@@ -212,6 +240,9 @@ def queries() -> dict:
         "induced_subgraph": lambda s, d: multigraph.induced_subgraph(_multigraph(s, d)),
         "first_window_graph": lambda s, d: multigraph.first_window(_multigraph(s, d)),
         "scan_ndjson": _scan,
+        "scan_ndjson_files": _files,
+        "scan_parquet_folder": _folder,
+        "multigraph_vertices": _vertices,
         "unwrap_union": _unwrap,
         "record_type_counts": lambda s, d: records.record_type_counts(_parsed(s, d)),
         "parse_events": lambda s, d: records.parse_events(_parsed(s, d)),

@@ -202,6 +202,9 @@ QUERIES = {
     "parse_ipc": "SELECT uuid, 'PIPE' AS ipc_type, CAST(i AS BIGINT) AS fd1, CAST(i + 1 AS BIGINT) AS fd2 FROM net",
     "parse_memory": "SELECT uuid, CAST(4096 * i AS BIGINT) AS \"memoryAddress\", CAST(64 AS BIGINT) AS size FROM net",
     "scan_ndjson": "SELECT (SELECT count(*) FROM ev) + (SELECT count(*) FROM sub) + (SELECT count(*) FROM fil) + 4 * 20 + 2 AS n_lines, (SELECT count(*) FROM ev) + (SELECT count(*) FROM sub) + (SELECT count(*) FROM fil) + 4 * 20 + 1 AS n_parsed",
+    "scan_ndjson_files": "SELECT (SELECT count(*) FROM ev) + (SELECT count(*) FROM sub) + (SELECT count(*) FROM fil) + 4 * 20 + 2 AS n_lines, (SELECT count(*) FROM ev) + (SELECT count(*) FROM sub) + (SELECT count(*) FROM fil) + 4 * 20 + 1 AS n_parsed, (SELECT count(*) FROM ev) AS n_events",
+    "scan_parquet_folder": f"SELECT count(*) AS n, min(t) AS lo, max(t) AS hi, count(uuid) AS n_uuid FROM ev WHERE t BETWEEN {ATTACKS[0][2]} AND {ATTACKS[5][3]}",
+    "multigraph_vertices": ", ve AS (SELECT src AS uuid, \"timestampNanos\" AS t, malicious FROM me UNION ALL SELECT dst, \"timestampNanos\", malicious FROM me), vt AS (SELECT uuid, min(node_type) AS node_type FROM ty GROUP BY uuid) SELECT ve.uuid, coalesce(min(node_type), 'unknown') AS node_type, count(*) AS degree, min(t) AS first_ts, max(t) AS last_ts, bool_or(malicious) AS malicious FROM ve LEFT JOIN vt ON ve.uuid = vt.uuid GROUP BY ve.uuid",
     "record_type_counts": "SELECT 'events' AS record_type, count(*) AS n FROM ev UNION ALL SELECT 'subjects', count(*) FROM sub UNION ALL SELECT 'fileobjects', count(*) FROM fil UNION ALL SELECT x, 20 FROM (VALUES ('netflows'), ('registrykeys'), ('ipc'), ('memory')) v(x) UNION ALL SELECT x, 1 FROM (VALUES ('other'), ('malformed')) v(x)",
     "unwrap_union": "SELECT uuid, subject_uuid AS unwrapped FROM ev",
     "ingest_counts": "SELECT file, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(m) AS BIGINT) AS n_malicious FROM (SELECT hostId || '.json' AS file, 1 AS n, malicious AS m FROM lh) GROUP BY ROLLUP (file)",

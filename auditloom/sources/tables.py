@@ -21,17 +21,40 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
+def scan_required(spark: SparkSession, paths: list[str], required: list[str], drop: list[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, list[str]]]]:
+    """The tables at these paths that have all required columns, as one, less the columns to drop; and those passed over, with what they lack.
+
+    Only the files' schemas are read here.
+    """
+    kept, passed = None, []
+    for path in paths:
+        df = spark.read.parquet(path)
+        lacks = missing_columns(df, required)
+        if lacks:
+            passed.append((path, lacks))
+            continue
+        df = df.drop(*(drop or []))
+        kept = df if kept is None else kept.unionByName(df, allowMissingColumns=True)
+    return kept, passed
+
+
 def inspect(df: DataFrame, n: int = 3) -> tuple[list[tuple[str, str]], DataFrame]:
     """Columns with their types, and any n rows."""
     return df.dtypes, df.limit(n)
 
 
-def write_table(df: DataFrame, path: str, compression: str = "zstd", rows_per_file: int | None = None, by_file: str | None = None, mode: str = "errorifexists") -> None:
-    """Parquet; `by_file` names a column of file names, whose stems become folders."""
+def write_table(df: DataFrame, path: str, compression: str = "zstd", rows_per_file: int | None = None, by_file: str | None = None, mode: str = "errorifexists", block_bytes: int | None = None) -> None:
+    """Parquet; `by_file` names a column of file names, whose stems become folders; `block_bytes` bounds the row groups."""
     out = df if by_file is None else df.withColumn("file_stem", file_stem(F.col(by_file)))
     writer = out.write.mode(mode).option("compression", compression)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    if block_bytes:
+        writer = writer.option("parquet.block.size", block_bytes)
     if by_file:
         writer = writer.partitionBy("file_stem")
     writer.parquet(path)
@@ -42,6 +65,27 @@ def write_relabelled(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
 
 
+def relabel_files(spark: SparkSession, inputs: dict[str, str], label, required: list[str], overwrite: bool = False) -> list[tuple[str, str]]:
+    """Relabels each input path to its output path: (input, what was done) of each.
+
+    label: from a table to the labelled one. Outputs that are there stay unless `overwrite`; inputs
+    without a required column are passed over.
+    """
+    done = []
+    for source, target in inputs.items():
+        df = spark.read.parquet(source)
+        lacks = missing_columns(df, required)
+        there = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if lacks:
+            done.append((source, "lacks " + " ".join(lacks)))
+        elif not overwrite and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            done.append((source, "there"))
+        else:
+            write_relabelled(label(df), target, overwrite)
+            done.append((source, "written"))
+    return done
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One CSV file with a header; for tables of windows and graphs."""
     df.coalesce(1).write.mode(mode).option("header", "true").csv(path)
@@ -59,6 +103,12 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, windows: DataFrame, path: s
         df.drop("label").join(labels, "window_id").write.mode(mode).partitionBy("label").parquet(f"{path}/{name}")
 
 
+def write_multigraph(edges: DataFrame, nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Edges by window, and one table of vertices with their attributes."""
+    edges.write.mode(mode).partitionBy("window_start_ns").parquet(f"{path}/edge")
+    nodes.write.mode(mode).parquet(f"{path}/vertex")
+
+
 #: The driver's tables have no host records: its `events` table stands for them, with ids made of its
 # keys. Every kind of edge and node occurs.
 

@@ -19,6 +19,11 @@ def _int(value) -> int | None:
         return None
 
 
+def _bare(value):
+    """The value that a one-key object wraps, as unions do in these files; else the value."""
+    return next(iter(value.values())) if isinstance(value, dict) and len(value) == 1 else value
+
+
 def _dicts(value) -> list[dict]:
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
@@ -120,7 +125,7 @@ def listing(data) -> list[dict]:
     rows = []
     for x, name, host, k in entries:
         inner = _window(x)
-        s, e = (_int(x.get(f"{side}_ns") or inner.get(f"{side}_unix_ns")) for side in ("start", "end"))
+        s, e = (_int(_bare(x.get(f"{side}_ns")) or _bare(inner.get(f"{side}_unix_ns"))) for side in ("start", "end"))
         malicious = x.get("malicious")
         rows.append({
             "name": name, "start_ns": s, "end_ns": e, "start_iso": x.get("start_iso") or inner.get("start_iso") or _iso(s),

@@ -304,6 +304,26 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "g" / "graph_node" / "label=1").exists()
 
 
+def test_relabelled_files(spark, tmp_path):
+    for name, rows in (("a", [(1, 5)]), ("b", [(2, 50)])):
+        spark.createDataFrame(rows, "uuid int, timestampNanos bigint").write.parquet(str(tmp_path / name))
+    spark.range(3).write.parquet(str(tmp_path / "c"))
+    win = spark.createDataFrame([(0, 10)], PAIRS)
+    inputs = {str(tmp_path / x): str(tmp_path / f"{x}_out") for x in "abc"}
+    label = lambda df: intervals.label(df, win, closed=True)
+    assert [x for _, x in tables.relabel_files(spark, inputs, label, ["timestampNanos"])] == ["written", "written", "lacks timestampNanos"]
+    assert [x for _, x in tables.relabel_files(spark, inputs, label, ["timestampNanos"])] == ["there", "there", "lacks timestampNanos"]
+    assert [spark.read.parquet(str(tmp_path / f"{x}_out")).first()["malicious"] for x in "ab"] == [1, 0]
+    kept, passed = tables.scan_required(spark, [str(tmp_path / x) for x in "abc"], ["timestampNanos"], drop=["uuid"])
+    assert kept.columns == ["timestampNanos"] and kept.count() == 2 and [lacks for _, lacks in passed] == [["timestampNanos"]]
+    wrapped = windows.listing([{"start_ns": {"long": 5}, "end_ns": {"long": "9"}}])[0]
+    assert (wrapped["start_ns"], wrapped["end_ns"]) == (5, 9)
+    ev = spark.createDataFrame([("e1", "A", 5, "s", "a", "b", 1, "h", 1)], EVENTS)
+    e = multigraph.edges(ev)
+    tables.write_multigraph(e, multigraph.vertices(e, spark.createDataFrame([("s", "subject")], "uuid string, node_type string")), str(tmp_path / "m"))
+    assert {(r["uuid"], r["node_type"], r["degree"]) for r in spark.read.parquet(str(tmp_path / "m" / "vertex")).collect()} == {("s", "subject", 2), ("a", "unknown", 1), ("b", "unknown", 1)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("h", 5), ("h", 600_000_000_001), (None, 7), ("h", 900_000_000_000)]
     df = spark.createDataFrame(rows, "hostId string, timestampNanos bigint")
