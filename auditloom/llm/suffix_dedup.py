@@ -9,7 +9,8 @@ then sorts suffixes of what it has. In each string the position whose `GRAM`-byt
 hash is its anchor. Equal strings have equal anchors, so
 
 1. grams of anchors are counted over the corpus; a string whose anchor's gram occurs once can't be
-   repeated, and nothing of it moves any further;
+   repeated, and nothing of it moves any further. Tasks tell the repeated grams by a Bloom filter of
+   bounded size; a gram that it takes for repeated brings a block that meets no other and loses nothing;
 2. neighbouring strings with the same anchor form a block. Equal blocks of a batch are merged before
    the shuffle and keep their first place; all other places of a block are repeats as a whole;
 3. blocks that differ but share a gram meet by the gram. Their bytes are put one after another and
@@ -54,8 +55,11 @@ TILE = 1 << 16
 WIDTHS = (8, 1)
 #: Bytes of a document whose removed runs one task merges.
 STRETCH = 1 << 20
-#: Repeated grams (8 bytes each), crowded grams and bytes of documents' ranges are broadcast up to these numbers, and joined beyond.
-BROADCAST_GRAMS = 4_000_000
+#: The filter of repeated grams has 8 to 16 bits for each, in slices of SLICE bits; repeated grams beyond what FILTER_BYTES hold are joined instead.
+SLICE = 1 << 19
+FILTER_BYTES = 64 << 20
+FILTER_GRAMS = FILTER_BYTES
+#: Crowded grams and bytes of documents' ranges are broadcast up to these numbers, and joined beyond.
 BROADCAST_CROWDED = 1_000_000
 BROADCAST_BYTES = 64_000_000
 NO_ID = -(1 << 63)
@@ -204,11 +208,65 @@ def _repeated_grams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
 
 
+def _bits(gram: np.ndarray, slices: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Slice of the filter that each gram falls in, and its three bits in there. slices: a power of two."""
+    h = gram.view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _MIX[2]  # least hashes have small high halves
+    slice_ = (((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
+    h = (h ^ (h >> np.uint64(29))) * _MIX[3]
+    mask = np.uint64(SLICE - 1)
+    return slice_, [((h >> np.uint64(k)) & mask).astype(np.int64) for k in (45, 26, 7)]
+
+
+def _filter(grams: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of n grams, built slice by slice in tasks; a row of bytes for each slice."""
+    slices = 1
+    while slices * SLICE < 8 * n:
+        slices *= 2
+
+    def deal(batches):
+        for batch in batches:
+            gram = batch.column("gram").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(gram, slices)[0]), pa.array(gram)], names=["slice", "gram"])
+
+    def fill(batches):
+        row = lambda k, bits: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+        current, bits = None, None
+        for batch in batches:
+            slice_, places = _bits(batch.column("gram").to_numpy(), slices)
+            for k in np.unique(slice_).tolist():  # rows arrive by slice
+                if k != current:
+                    if current is not None:
+                        yield row(current, bits)
+                    current, bits = k, np.zeros(SLICE // 8, dtype=np.uint8)
+                for place in places:
+                    own = place[slice_ == k]
+                    np.bitwise_or.at(bits, own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        if current is not None:
+            yield row(current, bits)
+
+    dealt = grams.mapInArrow(deal, "slice long, gram long").repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros((slices, SLICE // 8), dtype=np.uint8)
+    found = dealt.mapInArrow(fill, "slice long, bits binary").toArrow()  # FILTER_BYTES at most
+    for k, bits in zip(found.column("slice").to_pylist(), found.column("bits")):
+        out[k] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    return out
+
+
+def _held(known: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Which grams the filter holds: all that were put in, and few others."""
+    slice_, places = _bits(gram, len(known))
+    keep = np.ones(len(gram), dtype=bool)
+    for place in places:
+        keep &= (known[slice_, place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return keep
+
+
 def _occurrences(docs: DataFrame, known) -> DataFrame:
     """Blocks in documents: gram, b1 and b2 (the block's 128-bit hash), doc_id, start, strings, block.
 
     The block's bytes are there in one row of
-    each batch only, its earliest, so that copies cost a few numbers. known: sorted grams whose
+    each batch only, its earliest, so that copies cost a few numbers. known: the filter of grams whose
     blocks count; None: docs has `starts`, the first starts of the blocks that count in each document.
     """
     schema = "gram long, b1 long, b2 long, doc_id long, start int, strings int, block binary"
@@ -220,12 +278,9 @@ def _occurrences(docs: DataFrame, known) -> DataFrame:
                 starts = batch.column("starts")
                 listed = (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32) | starts.flatten().to_numpy()
                 keep = np.isin((owner << 32) | first, listed)
-                owner, first, n, gram, start = owner[keep], first[keep], n[keep], gram[keep], start[keep]
             else:
-                grams = known.value
-                at = np.minimum(np.searchsorted(grams, gram.view(np.int64)), max(len(grams) - 1, 0))
-                keep = grams[at] == gram.view(np.int64) if len(grams) else np.zeros(len(gram), dtype=bool)
-                owner, first, n, gram, start = owner[keep], first[keep], n[keep], gram[keep], start[keep]
+                keep = _held(known.value, gram)
+            owner, first, n, gram, start = owner[keep], first[keep], n[keep], gram[keep], start[keep]
             ids = batch.column("doc_id").to_numpy()[owner]
             order = np.lexsort((first, ids))
             ids, first, n, gram, start = ids[order], first[order], n[order], gram[order], start[order]
@@ -351,7 +406,7 @@ def _firsts(meeting: DataFrame, crowd: int, widths=WIDTHS) -> DataFrame:
 
 
 def _with_starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Documents with the first starts of their blocks of these grams; for more grams than a broadcast bears."""
+    """Documents with the first starts of their blocks of these grams; for more grams than the filter bears."""
 
     def run(batches):
         for batch in batches:
@@ -365,11 +420,12 @@ def _with_starts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return docs.join(starts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "starts")
 
 
-def repeat_ranges(docs: DataFrame, crowd: int = CROWD, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def repeat_ranges(docs: DataFrame, crowd: int = CROWD, filter_grams: int = FILTER_GRAMS) -> DataFrame:
     """doc_id, ranges (first and end of the removed runs of bytes, as 64-bit numbers, in one piece for each stretch) of each doc_id that loses bytes."""
     grams = stored(_repeated_grams(docs))
-    if at_most(grams, broadcast_grams):
-        occurrences = _occurrences(docs, spark_broadcast(docs, np.sort(grams.toArrow().column("gram").to_numpy())))
+    n = grams.count()
+    if n <= filter_grams:
+        occurrences = _occurrences(docs, spark_broadcast(docs, _filter(grams, n)))
     else:
         occurrences = _occurrences(_with_starts(docs, grams), None)
     occurrences = stored(occurrences)

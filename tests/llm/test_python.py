@@ -4,6 +4,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,18 @@ def test_equal_strings_share_their_anchor():
     assert all(len(g) == 1 for g in of.values())
 
 
+def test_filter_of_grams(spark):
+    rnd = np.random.default_rng(3)
+    grams = rnd.integers(0, 1 << 63, 400_000, dtype=np.int64)
+    grams[::2] >>= 20  # hashes that are least of their window
+    known = suffix_dedup._filter(spark.createDataFrame(pd.DataFrame({"gram": grams[:200_000]})), 200_000)
+    assert len(known) == 4
+    assert suffix_dedup._held(known, grams[:200_000].view(np.uint64)).all()
+    assert suffix_dedup._held(known, grams[200_000:].view(np.uint64)).mean() < 0.03
+    empty = suffix_dedup._filter(spark.createDataFrame([], "gram long"), 0)
+    assert not suffix_dedup._held(empty, grams.view(np.uint64)).any()
+
+
 @pytest.mark.parametrize("crowd, grams", [(5000, 1000), (1, 1000), (5000, 0)])
 def test_repeats_edges(spark, crowd, grams, monkeypatch):
     rnd = random.Random(5)
@@ -182,7 +195,7 @@ def test_repeats_edges(spark, crowd, grams, monkeypatch):
     ]
     data += [(3, data[3][1]), (70, None), (None, base), (71, ""), (None, base), (72, "ü" * 49 + "a"), (73, "ü" * 49 + "a"), (74, "ü" * 50), (75, "ü" * 50), (76, LONG)]
     ranges = suffix_dedup.repeat_ranges
-    monkeypatch.setattr(suffix_dedup, "repeat_ranges", lambda d: ranges(d, crowd=crowd, broadcast_grams=grams))
+    monkeypatch.setattr(suffix_dedup, "repeat_ranges", lambda d: ranges(d, crowd=crowd, filter_grams=grams))
     got = suffix_dedup.remove_repeats(table(spark, data))
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = got.collect()
