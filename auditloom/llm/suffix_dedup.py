@@ -59,9 +59,8 @@ STRETCH = 1 << 20
 SLICE = 1 << 19
 FILTER_BYTES = 64 << 20
 FILTER_GRAMS = FILTER_BYTES
-#: Crowded grams and bytes of documents' ranges are broadcast up to these numbers, and joined beyond.
+#: Crowded grams are broadcast up to this number, and joined beyond.
 BROADCAST_CROWDED = 1_000_000
-BROADCAST_BYTES = 64_000_000
 NO_ID = -(1 << 63)
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -219,9 +218,9 @@ def _bits(gram: np.ndarray, slices: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _filter(grams: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of n grams, built slice by slice in tasks; a row of bytes for each slice."""
+    """Bloom filter of n grams, built slice by slice in tasks; a row of bytes for each slice. It lets more through beyond FILTER_GRAMS."""
     slices = 1
-    while slices * SLICE < 8 * n:
+    while slices * SLICE < 8 * min(n, FILTER_GRAMS):
         slices *= 2
 
     def deal(batches):
@@ -494,33 +493,47 @@ def _merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the bytes that stay) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the bytes that stay) of every row.
+
+    Only texts of documents that lose bytes, as told by a filter, are shuffled to meet their ranges.
+    """
     bounded_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = own.withColumn("__own", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     found = stored(repeat_ranges(keyed.select("doc_id", "text")))
-    size = found.agg(F.sum(F.aggregate("ranges", F.lit(0), lambda a, x: a + F.octet_length(x)) + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
+    losing = spark_broadcast(docs, _filter(found.select(F.col("doc_id").alias("gram")), found.count()))
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), **({"kept": pa.binary()} if keep_bytes else {})}
+
+    def cut(batch, lost):
+        """lost: for each row the pieces of its ranges."""
+        cols = {k: [] for k in kinds}
+        for data, ranges in zip(_texts(batch), lost):
+            kept, at, n_spans = [], 0, 0
+            edges = np.frombuffer(b"".join(ranges or ()), dtype="<i8").reshape(-1, 2)
+            for b, e in _merged(edges[:, 0].tolist(), edges[:, 1].tolist()):
+                kept.append(data[at:b])
+                at, n_spans = e, n_spans + 1
+            kept = b"".join([*kept, data[at:]])
+            for k, x in zip(cols, (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept)):
+                cols[k].append(x)
+        return pa.RecordBatch.from_arrays([batch.column("__own"), *[pa.array(cols[k], kind) for k, kind in kinds.items()]], names=["doc_id", *kinds])
+
+    def touched(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_held(losing.value, batch.column("doc_id").to_numpy())))
 
-    def run(batches):
+    def untouched(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~_held(losing.value, batch.column("doc_id").to_numpy())))
+            yield cut(batch, [None] * batch.num_rows)
+
+    def shortened(batches):
         for batch in batches:
-            cols = {k: [] for k in names[1:]}
-            for data, ranges in zip(_texts(batch), batch.column("ranges").to_pylist()):
-                kept, at, n_spans = [], 0, 0
-                edges = np.frombuffer(b"".join(ranges or ()), dtype="<i8").reshape(-1, 2)
-                for b, e in _merged(edges[:, 0].tolist(), edges[:, 1].tolist()):
-                    kept.append(data[at:b])
-                    at, n_spans = e, n_spans + 1
-                kept = b"".join([*kept, data[at:]])
-                for k, x in zip(names[1:], (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept)):
-                    cols[k].append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("__own"), *[pa.array(cols[k], kind) for k, kind in zip(names[1:], kinds)]], names=names)
+            yield cut(batch, batch.column("ranges").to_pylist())
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
-    return keyed.join(found, "doc_id", "left").select("__own", "text", "ranges").mapInArrow(run, schema)
+    met = keyed.mapInArrow(touched, keyed.schema).join(found.hint("merge"), "doc_id", "left")
+    return met.select("__own", "text", "ranges").mapInArrow(shortened, schema).unionByName(keyed.mapInArrow(untouched, schema))
 
 
 def op6_suffix_dedup(spark, sf_dir):
