@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of docs. Near-duplicates
-take shingles of five words and fingerprints that differ in at most 2 of 64 bits.
+are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, or whose
+fingerprints of such shingles differ in at most 2 of 64 bits.
 """
 
 from __future__ import annotations
