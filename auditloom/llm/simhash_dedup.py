@@ -132,7 +132,7 @@ def _ball(value: Column, bits) -> Column:
 
 
 def links(fps: DataFrame, group_cap: int = GROUP_CAP) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links. fps: fp, distinct."""
+    """Edges (a, b), some of them repeated, between distinct fingerprints whose components are those of all links. fps: fp, distinct."""
     starts = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _segment(F.col("fp"), i).alias("seg"), _segment(F.col("fp"), i + 1).alias("nxt")) for i in range(3)])).alias("s")).select("fp", "s.*")
     sizes = materialize(starts.groupBy("i", "seg", "nxt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_cap))
     crowded = sizes.select("i", "seg").distinct()
@@ -149,25 +149,27 @@ def links(fps: DataFrame, group_cap: int = GROUP_CAP) -> DataFrame:
     around = members.select("i", "fp", F.explode(F.coalesce(*rest)).alias("z"))
     smallest = around.groupBy("i", "z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("i", "z", "a")
     stars = around.join(smallest, ["i", "z"]).where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of the edges (a, b); large-star and small-star in turn."""
+    """node, root (the smallest node reachable) for every node of the edges (a, b); large-star and small-star in turn.
+
+    Done when the edges are stars: every greater end has one edge and none is a lesser end. Raises beyond `max_rounds`.
+    """
     edges = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
-    state = None
     for _ in range(max_rounds):
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        ends = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.lit(0).alias("is_hi")), F.struct(F.col("hi").alias("u"), F.lit(1).alias("is_hi")))).alias("e")).select("e.*")
+        ends = ends.groupBy("u").agg(F.sum("is_hi").alias("above"), F.min("is_hi").alias("least"))
+        if ends.where("above > 1 OR (above = 1 AND least = 0)").isEmpty():
+            break
+        both = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v > m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        small = small.select(F.col("m").alias("lo"), "hi").unionByName(small.where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
-        edges = materialize(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
+        first, second = F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        small = large.join(least, "hi").select(F.explode(F.when(F.col("lo") > F.col("m"), F.array(first, second)).otherwise(F.array(first))).alias("e"))
+        edges = materialize(small.select("e.*").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
