@@ -2,6 +2,7 @@ import hashlib
 from array import array
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm import bpe, quality_rules
@@ -46,3 +47,27 @@ def test_stages_on_edges(spark, sf):
             out = stage(spark, docs, sf)
             assert name == "bpe" or out.columns == docs.columns
             out.count()
+
+
+def test_stages_with_long_texts_ties_and_clashing_columns(spark, sf):
+    """Extra columns named like the stages' own ones pass through; equal rows, equal texts and a very long text don't crash."""
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = ("fp", "component_id", "key", "n", "host", "line", "kept", "band", "id", "root", "item_id")
+    plain = " ".join(f"word{k}" for k in range(80))
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, plain, "a"), (2, plain, "a"), (3, long, "b"), (3, long, "b"), (4, f"{plain} tail", "a"), (5, None, None), (6, "", "b"), (None, plain, None)]
+    kinds = dict(own.dtypes)
+    narrow = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = narrow.select(*[narrow[c] if c in narrow.columns else filled(kinds[c], c) for c in own.columns], *[filled("string", c, "x") for c in extra])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "bpe" or out.columns == docs.columns
+        kept[name] = out.collect()
+    assert sorted(r["doc_id"] for r in kept["simhash_near_dedup"] if r["doc_id"] is not None) == [1, 3, 5]
+    assert all(r[c] == "x" for r in kept["simhash_near_dedup"] for c in extra)
+    assert len(kept["bpe"]) == len(rows)
+
+
+def filled(kind, name, value=None):
+    return F.lit(value).cast(kind).alias(name)
